@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.config import MaskConfig
 from veilframe.operators import spans as S
 from veilframe.patterns import PROFILES
 
 META = "struct<entity_id:int,entity_type:string,matched_text:string,score:double>"
+META_TYPE = T.ArrayType(
+    T.StructType([T.StructField(n, t) for n, t in (("entity_id", T.IntegerType()), ("entity_type", T.StringType()), ("matched_text", T.StringType()), ("score", T.DoubleType()))])
+)
 
 
 def enabled(spans: Column, cfg: MaskConfig) -> Column:

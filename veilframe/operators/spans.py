@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.config import PatternSpec
 
@@ -19,6 +20,9 @@ SPAN = "struct<start:int,end:int,entity_type:string,score:double,seq:int>"
 # for matching only (same length, so offsets hold).
 _FRAME = ""
 NO_SPANS = f"array<{SPAN}>"
+SPANS_TYPE = T.ArrayType(
+    T.StructType([T.StructField(n, t) for n, t in (("start", T.IntegerType()), ("end", T.IntegerType()), ("entity_type", T.StringType()), ("score", T.DoubleType()), ("seq", T.IntegerType()))])
+)
 
 
 def no_spans() -> Column:
