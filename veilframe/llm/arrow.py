@@ -24,3 +24,16 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, types: li
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return df.mapInArrow(run, schema)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The DataFrame computed once and kept as files in the folder that the session shares with its executors.
+
+    The folder is ``spark.checkpoint.dir``; only where the session names none, as in tests, a local one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilframe-"))
+    return df.checkpoint()

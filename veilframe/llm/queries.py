@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe.llm import packing, pieces, runs, tokens
+from veilframe.llm import lookalikes, packing, pieces, runs, tokens
 from veilframe.sources.readers import tables
 
 Q: dict = {}
@@ -21,6 +21,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# ---- 1: texts that look the same ----
+
+
+@query("p1_found")
+def p1_found(spark, folder):
+    return lookalikes.look_alikes(tables(spark, folder)("mask_in"))
+
+
+@query("p1_forms")
+def p1_forms(spark, folder):
+    return lookalikes.normalise(tables(spark, folder)("mask_in"), ["request_id"]).distinct()
+
+
 # ---- 3: runs of items ----
 
 _RUNS = """WITH it AS (SELECT DISTINCT request_id AS k, token_index AS i, regexp_replace(upper(entity), '^[BIES][-_]', '') AS l, start_pos AS s, end_pos AS e
