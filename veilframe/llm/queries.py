@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe.llm import lookalikes, packing, pieces, runs, tokens
+from veilframe.llm import langid, lookalikes, packing, pieces, runs, tokens
 from veilframe.sources.readers import tables
 
 Q: dict = {}
@@ -34,6 +34,33 @@ def p1_forms(spark, folder):
     return lookalikes.normalise(tables(spark, folder)("mask_in"), ["request_id"]).distinct()
 
 
+# ---- 2: languages ----
+
+
+def _network(read):
+    return langid.fit_on(read("mask_in"), read("lang_samples"))
+
+
+@query("p2_found")
+def p2_found(spark, folder):
+    read = tables(spark, folder)
+    requests = read("mask_in").where(F.col("text").isNotNull()).select(F.struct("request_id", "language").alias("k"), "text")
+    found = langid.segments(requests, _network(read), "k").where("whole").select("k.request_id", "k.language", "lang")
+    return found.where(~F.array_contains(langid.labelled(F.col("language")), F.col("lang"))).select("request_id", "lang").distinct()
+
+
+@query("p2_segments")
+def p2_segments(spark, folder):
+    read = tables(spark, folder)
+    return langid.segments(read("mask_in"), _network(read)).distinct()
+
+
+@query("p2_documents")
+def p2_documents(spark, folder):
+    read = tables(spark, folder)
+    return langid.documents(read("mask_in"), _network(read)).distinct()
+
+
 # ---- 3: runs of items ----
 
 _RUNS = """WITH it AS (SELECT DISTINCT request_id AS k, token_index AS i, regexp_replace(upper(entity), '^[BIES][-_]', '') AS l, start_pos AS s, end_pos AS e
