@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe.llm import langid, lookalikes, packing, pieces, runs, tokens
+from veilframe.llm import langid, lookalikes, packing, personal, pieces, runs, tokens
 from veilframe.sources.readers import tables
 
 Q: dict = {}
@@ -84,6 +84,21 @@ def p3_runs(spark, folder):
     return runs.collapse(tables(spark, folder)("ner_item"))
 
 
+# ---- 4: personal information ----
+
+
+@query("p4_found")
+def p4_found(spark, folder):
+    read = tables(spark, folder)
+    return personal.spans(personal.bodies(read), personal.lexicon_from(read("entity_span"))).distinct()
+
+
+@query("p4_masked")
+def p4_masked(spark, folder):
+    read = tables(spark, folder)
+    return personal.mask(personal.bodies(read), personal.lexicon_from(read("entity_span"))).distinct()
+
+
 # ---- 5: pieces ----
 
 _LIMITED = """lim AS (SELECT lower(trim(model)) AS m, max_chars AS lim FROM model_limits),
