@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe.llm import langid, lookalikes, packing, personal, pieces, runs, tokens
+from veilframe.llm import abuse, langid, lookalikes, packing, personal, pieces, runs, tokens
 from veilframe.sources.readers import tables
 
 Q: dict = {}
@@ -167,3 +167,42 @@ def p7_fill(spark, folder):
     return total.join(F.broadcast(read("pack_sizes").limit(packing.MAX_PACKS)), "pack_name").select(
         "pack_name", "containers", "n_tokens", "fullest", F.round(1 - F.col("n_tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("unused")
     )
+
+
+# ---- 8: abusive, hateful and sexual language ----
+
+
+def _scored(read, *more):
+    documents = read("documents")
+    classifier = abuse.fit_on(documents, read("review_marks"))
+    if not more:
+        return abuse.scores(documents, classifier)
+    return abuse.scores(documents.select(F.struct("doc_id", *more).alias("k"), "text"), classifier, "k")
+
+
+@query("p8_found")
+def p8_found(spark, folder):
+    kinds = F.array(*[F.when(F.col(c) >= abuse.THRESHOLD, F.lit(c)) for c in abuse.CATEGORIES])
+    return _scored(tables(spark, folder)).select("doc_id", F.explode(F.array_compact(kinds)).alias("category"))
+
+
+@query("p8_scores")
+def p8_scores(spark, folder):
+    return _scored(tables(spark, folder))
+
+
+@query("p8_sources")
+def p8_sources(spark, folder):
+    """Per source: documents, and the share of them found in each category."""
+    rows = _scored(tables(spark, folder), "source").select("k.source", *abuse.CATEGORIES)
+    return rows.groupBy("source").agg(
+        F.count("*").alias("n_documents"), *[F.round(F.avg((F.col(c) >= abuse.THRESHOLD).cast("double")), 6).alias(f"{c}_rate") for c in abuse.CATEGORIES]
+    )
+
+
+@query("p8_reviews", """WITH last AS (SELECT doc_id, category, reviewer, arg_max(mark, {'a': marked_at, 'b': mark}) AS mark FROM review_marks
+  WHERE mark IN (0, 1) AND category IN ('abuse', 'hate', 'sexual') AND doc_id IS NOT NULL GROUP BY ALL),
+s AS (SELECT doc_id, category, avg(mark) AS share FROM last GROUP BY ALL) SELECT doc_id, category, CASE WHEN share > 0.5 THEN 1 ELSE 0 END AS mark FROM s WHERE share <> 0.5""")
+def p8_reviews(spark, folder):
+    """The reviewers' majority, which the classifier learns from."""
+    return abuse.reviews(tables(spark, folder)("review_marks"))
