@@ -234,7 +234,7 @@ class Classifier:
 
     def scores(self, text: str) -> np.ndarray:
         x = self.f(text)
-        if not len(x) or (len(text) < 6 and len(_TOKEN.findall(text)[0]) < 4):
+        if len(x) < 2 or (len(text) < 6 and max(map(len, _TOKEN.findall(text)), default=0) < 4):
             return np.zeros(len(CATEGORIES), np.float32)
         return 1 / (1 + np.exp(-(self.w[x].sum(0) / len(x) ** 0.5 + self.b)))
 
