@@ -142,7 +142,7 @@ def sentences(text: str) -> list[str]:
 _GONE = dict.fromkeys(map(ord, INVISIBLE))
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_·]){2,}[^\W\d_](?![^\W_])")
 _LEET = str.maketrans("@$013457!|€", "asoieasti" + "le")
-_SIGNED = re.compile(r"[^\s.,;:\"()\[\]¡¿]*[@$0-9|€!][^\s.,;:\"()\[\]¡¿]*")
+_SIGNED = re.compile(r"(?<![^\s.,;:\"()\[\]¡¿])[^\s.,;:\"()\[\]¡¿]*[@$0-9|€!][^\s.,;:\"()\[\]¡¿]*")
 _STRETCH = re.compile(r"([^\W\d_])\1+")
 _TOKEN = re.compile(r"[^\W_]+(?:\*+[^\W_]*)*|\*+[^\W_]+")
 
