@@ -97,7 +97,8 @@ class PatternSpec:
     """One regular expression. ``label`` precedes the value and is not part of the span.
 
     ``hint`` is a cheap necessary condition (a regular expression) tried first, so
-    that rows without any chance skip the pattern itself.
+    that rows without any chance skip the pattern itself. ``fast`` is the value in a form
+    with the same matches that a backtracking engine reads in linear time.
     """
 
     name: str
@@ -108,3 +109,4 @@ class PatternSpec:
     flags: str = ""
     hint: str = ""
     languages: tuple = ()
+    fast: str = ""

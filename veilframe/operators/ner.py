@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from veilframe.operators import spans as S
 
@@ -112,9 +114,6 @@ def with_model(df: DataFrame, infer: Callable[[list[str], list[str]], list[list[
     ``infer`` returns per text tuples (entity, score, index, word, start, end); tokens labelled
     ``O`` are dropped. A failing recognizer is the caller's matter; none at all: :func:`no_items`.
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     lang = F.lit("en") if language is None else F.coalesce(F.col(language), F.lit("en"))
 
     @pandas_udf(ITEMS)  # parsed here, where a session exists

@@ -37,7 +37,7 @@ def find_spans(text: Column, spec: PatternSpec, seq: int = 0) -> Column:
     of strings are used, so characters beyond the basic plane count as one.
     """
     flags = "(?U" + spec.flags + ")"
-    framed = F.regexp_replace(F.translate(text, _FRAME, " "), F.lit(f"{flags}({spec.label})({spec.value})"), F.lit(f"$1{_FRAME}$2{_FRAME}"))
+    framed = F.regexp_replace(F.translate(text, _FRAME, " "), F.lit(f"{flags}({spec.label})({spec.fast or spec.value})"), F.lit(f"$1{_FRAME}$2{_FRAME}"))
     pieces = F.split(framed, _FRAME)
     start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), no_spans().alias("out"))
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from veilframe.config import PatternSpec as P
 
+# An address begins where its run of local characters begins, or where the last match ended.
+_LOCAL = "A-Za-z0-9._%+-"
+_MAIL_FAST = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}"
 _PEM = r"(?:OPENSSH|RSA|EC|DSA) PRIVATE KEY-----"
 
 # Order is the tie-break order of overlap resolution.
 CORE = (
-    P("email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0.90, hint="@"),
+    P("email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0.90, hint="@", fast=_MAIL_FAST),
     P("phone", "PHONE_NUMBER", r"\+?\d[\d -]{7,}\d", 0.70, hint=r"\d[\d -]{7}"),
     P("bank", "BANK_NUMBER", r"\b\d{12,19}\b", 0.60, hint=r"\d{12}"),
     P("vcode", "VERIFICATION_CODE", r"\b\d{4,8}\b", 0.50, hint=r"\d{4}"),
@@ -26,7 +29,7 @@ _STREET = r"(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Boulevard|Blvd\.?|Lane|Ln\.
 
 # The rules profile, all matched ignoring case.
 RULES = (
-    P("rule_email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0.85, "", "i", "@"),
+    P("rule_email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0.85, "", "i", "@", fast=_MAIL_FAST),
     P("rule_cn_phone", "PHONE_NUMBER", r"(?:\+?86[-\s]?)?1[3-9]\d[-\s]?\d{4}[-\s]?\d{4}", 0.86, "", "i", r"1[3-9]\d"),
     P("rule_ipv4", "IP_ADDRESS", rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b", 0.60, "", "i", r"\d\.\d"),
     P("rule_cn_id", "CN_ID", r"\b[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[0-9Xx]\b", 0.70, "", "i", r"\d{17}"),
@@ -44,7 +47,7 @@ RULES = (
 
 # Spans of the optional fall-back pass, with their scores there.
 FALLBACK = tuple(
-    P(p.name, p.entity_type, p.value, score, "", "", p.hint)
+    P(p.name, p.entity_type, p.value, score, "", "", p.hint, fast=p.fast)
     for p, score in ((RULES[0], 0.95), (RULES[1], 0.90), (RULES[2], 0.90), (RULES[3], 0.90))
 )
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from veilframe.config import MaskConfig
 from veilframe.functions import language as L
@@ -33,9 +35,6 @@ def echo(text: Column) -> Column:
 
 def external(call: Callable[[list[str]], list[str]]):
     """An outside text function as a column function: one call a batch of rows, Arrow in and out."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
