@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP = 20_000
+MAX_TASKS = 4_000
 MAX_PACKS = 1000  # rows of the table of capacities, which is read by the driver
 
 
@@ -46,15 +47,16 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(df: DataFrame, packs: DataFrame, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+def pack(df: DataFrame, packs: DataFrame, key: str = "doc_id", size: str = "n_tokens", n: int | None = None) -> DataFrame:
     """pack_name, doc_id, part_no, group_no, container_no, n_tokens: one row a part.
 
     ``packs`` (pack_name, capacity_tokens) must be a small table; one shuffle of (key, size) pairs.
+    ``n``, the number of items if it is known, saves a pass over ``df``.
     """
     given = sorted((r[0], int(r[1])) for r in packs.select("pack_name", "capacity_tokens").where("capacity_tokens > 0").distinct().limit(MAX_PACKS + 1).collect())
     if len(given) > MAX_PACKS:
         raise ValueError(f"more than {MAX_PACKS} capacities")
-    n = df.count()
+    n = df.count() if n is None else n
     groups = max(1, -(-n // GROUP))
     kind = df.schema[key].dataType.simpleString()
 
@@ -79,4 +81,5 @@ def pack(df: DataFrame, packs: DataFrame, key: str = "doc_id", size: str = "n_to
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     grouped = df.select(key, F.col(size).cast("bigint").alias(size), F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(groups)).alias("group_no"))
-    return grouped.groupBy("group_no").applyInArrow(run, f"pack_name string, {key} {kind}, part_no int, group_no bigint, container_no bigint, n_tokens bigint")
+    # one task a group, up to a bound: the rows are few bytes but much work
+    return grouped.repartition(min(groups, MAX_TASKS), "group_no").groupBy("group_no").applyInArrow(run, f"pack_name string, {key} {kind}, part_no int, group_no bigint, container_no bigint, n_tokens bigint")

@@ -151,17 +151,21 @@ def p6_lengths(spark, folder):
 # ---- 7: containers ----
 
 
+def _packed(read):
+    documents = read("documents")
+    return packing.pack(tokens.lengths(documents), read("pack_sizes"), n=documents.count())
+
+
 @query("p7_containers")
 def p7_containers(spark, folder):
-    read = tables(spark, folder)
-    return packing.pack(tokens.lengths(read("documents")), read("pack_sizes"))
+    return _packed(tables(spark, folder))
 
 
 @query("p7_fill")
 def p7_fill(spark, folder):
     """Per capacity: containers, tokens, and the share of space left unused."""
     read = tables(spark, folder)
-    rows = packing.pack(tokens.lengths(read("documents")), read("pack_sizes"))
+    rows = _packed(read)
     per = rows.groupBy("pack_name", "group_no", "container_no").agg(F.sum("n_tokens").alias("n"))
     total = per.groupBy("pack_name").agg(F.count("*").alias("containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"))
     return total.join(F.broadcast(read("pack_sizes").limit(packing.MAX_PACKS)), "pack_name").select(
