@@ -227,7 +227,7 @@ class Network:
 def _balanced(y: np.ndarray, rng) -> np.ndarray:
     """A shuffled epoch with equally many rows of each class present."""
     groups = [np.flatnonzero(y == c) for c in np.unique(y)]
-    n = min(PER_LANGUAGE, max(map(len, groups)))
+    n = min(PER_LANGUAGE, max([400, *map(len, groups)]))
     return rng.permutation(np.concatenate([rng.choice(g, n, replace=len(g) < n) for g in groups]))
 
 
