@@ -140,10 +140,10 @@ def min_score_filter(spans: Column, rules, language: Column) -> Column:
         rest = of(at, "*") if (at, "*") in table else F.lit(True)
         return reduce(lambda acc, c: F.when(c[0], c[1]).otherwise(acc), reversed(cases), rest)
 
-    out = F.filter(spans, lambda s: verdict("all", s))
-    for lang in langs:
-        out = F.when(F.lower(language) == lang, F.filter(spans, lambda s, lang=lang: verdict(lang, s))).otherwise(out)
-    return out
+    def kept(lang):
+        return F.filter(spans, lambda s: verdict(lang, s))
+
+    return reduce(lambda out, lang: F.when(F.lower(language) == lang, kept(lang)).otherwise(out), langs, kept("all"))
 
 
 def whitelist_filter(spans: Column, allowed: dict, language: Column | None = None) -> Column:
