@@ -41,7 +41,7 @@ def test_gate(spark):
     item = ("B-LOC", 0.98, 0, "成都市", 3, 6)
     df = spark.createDataFrame([(text, "zh", [item]), (text, "en", [item]), (None, "zh", None)], "text string, language string, ner array<struct<entity:string,score:float,index:int,word:string,start:int,end:int>>")
     got = [[(x["start"], x["end"]) for x in r["entity_spans"]] if r["entity_spans"] else [] for r in entity_spans(df).collect()]
-    assert got == [[(3, 18)], [(3, 6)], []]
+    assert got == [[(3, 17)], [(3, 6)], []]
 
 
 def test_language(spark):
