@@ -224,11 +224,6 @@ def _(spark, folder):
     return rows.select("id", F.explode(map_from_json64(map_to_json64(placeholder_map(F.col("mask_meta"))))).alias("placeholder", "original"))
 
 
-@query("rules_mask", None)
-def _(spark, folder):
-    return M.mask(texts(spark, folder), cfg=MaskConfig.from_dict({"maskAll": True}, "rules"), profile="rules").select("id", "masked_text")
-
-
 @query("rules_restore", f"WITH {TEXTS_SQL} SELECT id, text AS restored_text FROM src")
 def _(spark, folder):
     rows = M.mask(texts(spark, folder), cfg=MaskConfig.from_dict({"maskAll": True}, "rules"), profile="rules")
@@ -264,13 +259,17 @@ def _resolved(df, found):
     )
 
 
-@query(
-    "prefix_drop",
-    _resolved_sql(ON, TEXTS_SQL, where="score >= 0.5").replace(
+def _prefix_dropped(sql: str) -> str:
+    return sql.replace(
         "FROM cand WHERE score >= 0.5",
         """FROM (SELECT c.*, CASE WHEN p > 1 AND p <= 80 AND regexp_matches(substring(text, 1, p - 1), '翻译|如下|translate|following') THEN p ELSE 0 END AS q
   FROM cand c JOIN (SELECT id, text, least(nullif(strpos(text, ':'), 0), nullif(strpos(text, '：'), 0)) AS p FROM src) USING (id)) WHERE score >= 0.5 AND (q = 0 OR e > q)""",
     )
+
+
+@query(
+    "prefix_drop",
+    _prefix_dropped(_resolved_sql(ON, TEXTS_SQL, where="score >= 0.5"))
     + " SELECT id, n AS entity_id, entity_type, s AS span_start, e AS span_end, score, substring(text, s + 1, e - s) AS entity_text FROM sel JOIN src USING (id)",
 )
 def _(spark, folder):
@@ -278,6 +277,11 @@ def _(spark, folder):
     return _resolved(texts(spark, folder), found)
 
 
+@query("rules_mask", _prefix_dropped(_resolved_sql(ON_RULES, TEXTS_SQL)) + _MASKED_SQL + " SELECT id, masked_text FROM masked")
+def _(spark, folder):
+    return M.mask(texts(spark, folder), cfg=MaskConfig.from_dict({"maskAll": True}, "rules"), profile="rules").select("id", "masked_text")
+
+
 @query(
     "merge_spans",
     f"""WITH {TEXTS_SQL}, {_found_sql('a', by_name('phone'), 1)}, {_found_sql('b', by_name('bank'), 2)}
