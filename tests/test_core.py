@@ -17,7 +17,7 @@ from veilframe.operators.restore import placeholder_map, restore, restore_lenien
 from veilframe.patterns import CORE
 from veilframe.plans.pipelines import external, round_trip
 
-TEXT = "Contact me: a.b+1@test.io and visit https://ziglang.org, my name is John Doe."
+TEXT = "Contact me: a.b+1@test.io and visit https://example.org, my name is John Doe."
 
 
 def frame(spark, *texts):

@@ -23,7 +23,7 @@ from veilframe.sources.readers import tables
 
 # Invented rows for what the tables hold rarely or never.
 EXTRA = [
-    (-1, "Contact me: a.b+1@test.io and visit https://ziglang.test, thanks"),
+    (-1, "Contact me: a.b+1@test.io and visit https://example.test, thanks"),
     (-2, "verification code: 9F4T2A and OTP=77aa88bb, pwd: S3cure!Passw0rd"),
     (-3, "password: hunter2 but pass: hunter2 and passcode=0000x"),
     (-4, "seed: apple brick cloud delta eagle flute grape house ivory jelly koala lemon stays"),
