@@ -14,7 +14,7 @@ from veilframe.operators import spans as S
 from veilframe.operators.lines import mask_lines, restore_lines
 from veilframe.operators.meta_codec import decode, encode, map_from_json64, map_to_json64, meta_from_base64, meta_to_base64
 from veilframe.operators.restore import placeholder_map, restore, restore_lenient, restore_text
-from veilframe.patterns import CORE
+from veilframe.patterns import CORE, by_name
 from veilframe.plans.pipelines import external, round_trip
 
 TEXT = "Contact me: a.b+1@test.io and visit https://example.org, my name is John Doe."
@@ -201,3 +201,23 @@ def test_subword_merge_and_alignment(spark):
     assert N.align_tokens("Zoë met Ann-Lee", ["zoe", "met", "Ann", "##Lee", "nope"]) == [(0, 3), (4, 7), (8, 11), (12, 15), (15, 15)]
     df = N.with_model(frame(spark, "Ann", None), lambda texts, langs: [[("B-PER", 0.9, 0, t, 0, len(t)), ("O", 0.1, 1, "", 0, 0)] for t in texts])
     assert [len(r["ner"]) for r in df.collect()] == [1, 1]
+
+
+@pytest.mark.parametrize(
+    "name, text, value",
+    [
+        ("phone", "tel ３３６７-０１６６-２５８０ ok", "３３６７-０１６６-２５８０"),
+        ("bank", "card ４１１１１１１１１１１１１１１１ ok", "４１１１１１１１１１１１１１１１"),
+        ("vcode", "code １２３４５６ ok", "１２３４５６"),
+        ("password", "paſſword: hunter2", "hunter2"),
+        ("rule_street", "at 12 Long Hill\u00a0Road\u00a0now", "12 Long Hill\u00a0Road"),
+        ("rule_street", "at 12 Long Hill\u3000Road now", "12 Long Hill\u3000Road"),
+        ("rule_user_name", "name\u00a0: Jo Doe", "name\u00a0: Jo Doe"),
+        ("rule_cn_phone", "tel 13４００００１２３４ ok", "13４００００１２３４"),
+        ("rule_bank", "card ６２２２ ０２１２ ３４５６ ７８９０ 123", "６２２２ ０２１２ ３４５６ ７８９０ 123"),
+        ("rule_url", "see HTTP://LOCALHOST/A now", "HTTP://LOCALHOST/A"),
+    ],
+)
+def test_hint_sees_what_the_pattern_sees(spark, name, text, value):
+    got = frame(spark, text).select(S.find_spans(F.col("text"), by_name(name)).alias("s")).first()["s"]
+    assert [text[x["start"] : x["end"]] for x in got] == [value]

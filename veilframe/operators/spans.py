@@ -49,7 +49,8 @@ def find_spans(text: Column, spec: PatternSpec, seq: int = 0) -> Column:
         return F.struct(end.alias("pos"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(spec.hint), found).otherwise(no_spans()) if spec.hint else found
+    # the test must see what the pattern sees: Unicode digits, blanks and case
+    return F.when(text.rlike(flags + spec.hint), found).otherwise(no_spans()) if spec.hint else found
 
 
 def all_spans(text: Column, specs, extra: Column | None = None, language: Column | None = None, min_score: float = 0.5) -> Column:
