@@ -149,6 +149,34 @@ def test_personal(text, want):
     assert [(text[a:b], k) for a, b, k in personal.find(text, LEXICON)] == want
 
 
+@pytest.mark.parametrize(
+    "text, value, kind",
+    [
+        ("Call zero-two-zero-seven-nine-four-six-zero-two-zero-nine now", "zero-two-zero-seven-nine-four-six-zero-two-zero-nine", "PHONE_NUMBER"),
+        ("on five, five, five, one, two, three, four, five, six, eight.", "five, five, five, one, two, three, four, five, six, eight", "PHONE_NUMBER"),
+        ("tel 07700 nine zero zero one two three", "07700 nine zero zero one two three", "PHONE_NUMBER"),
+        ("ID one one zero one zero five one nine four nine one two three one zero zero two X ok", "one one zero one zero five one nine four nine one two three one zero zero two X", "ID_NUMBER"),
+        ("mine: Q Q seven three nine five five three C.", "Q Q seven three nine five five three C", "ID_NUMBER"),
+        ("al zero sei sei due uno quattro cinque otto nove tre", "zero sei sei due uno quattro cinque otto nove tre", "PHONE_NUMBER"),
+        ("ligue nove um dois três quatro cinco seis sete oito zero", "nove um dois três quatro cinco seis sete oito zero", "PHONE_NUMBER"),
+        ("bel nul zes een twee drie vier vijf zes zeven acht", "nul zes een twee drie vier vijf zes zeven acht", "PHONE_NUMBER"),
+        ("тел. восемь девять один два три четыре пять шесть семь восемь", "восемь девять один два три четыре пять шесть семь восемь", "PHONE_NUMBER"),
+        ("电话一三八零零一三八零零零，谢谢", "一三八零零一三八零零零", "PHONE_NUMBER"),
+        ("電話はゼロきゅうゼロいちにさんよんごろくななはち です", "ゼロきゅうゼロいちにさんよんごろくななはち", "PHONE_NUMBER"),
+        ("at one seven zero Quarry Street, Marlowby 20100 and", "one seven zero Quarry Street, Marlowby 20100", "PHYSICAL_ADDRESS"),
+        ("mail x@mail dot test now", "x@mail dot test", "EMAIL_ADDRESS"),
+        ("mail x {at} mail [punkt] test now", "x {at} mail [punkt] test", "EMAIL_ADDRESS"),
+        ("ana arroba correo punto test", "ana arroba correo punto test", "EMAIL_ADDRESS"),
+        ("ivan собака mail точка test", "ivan собака mail точка test", "EMAIL_ADDRESS"),
+        ("Orla at rosk.sallowby at mail.test", "rosk.sallowby at mail.test", "EMAIL_ADDRESS"),
+        ("order six three two eight zero zero five five nine three", None, None),
+        ("look at example.com and meet at one point two, one two times", None, None),
+    ],
+)
+def test_spelled_and_disguised(text, value, kind):
+    assert [(text[a:b], k) for a, b, k in personal.find(text, LEXICON)] == ([(value, kind)] if value else [])
+
+
 def test_personal_tables(spark):
     df = spark.createDataFrame([("mask_in", 1, "mail a@b.test", 0), ("call_in", 1, None, 0), ("call_in", 2, "x" * 300_000 + " a@b.test", 0)], "src string, record_id bigint, text string, start_pos int")
     assert sorted((r["src"], r["record_id"], r["end_pos"] - r["start_pos"]) for r in personal.spans(df, LEXICON).collect()) == [("call_in", 2, 8), ("mask_in", 1, 8)]
