@@ -177,6 +177,15 @@ def test_spelled_and_disguised(text, value, kind):
     assert [(text[a:b], k) for a, b, k in personal.find(text, LEXICON)] == ([(value, kind)] if value else [])
 
 
+@pytest.mark.parametrize("n", [0, 100, 400])
+def test_numbers_in_long_runs(n):
+    x = "x" * n
+    for text in (f'{{"a":"{x}","tel":"+442079460209","b":"{x}"}}', f"q={x}&tel=+442079460209&k={x}", f"{x},+442079460209,{x}"):
+        assert [(text[a:b], k) for a, b, k in personal.find(text, LEXICON)] == [("+442079460209", "PHONE_NUMBER")]
+    assert personal.find(f"id={x}&nin=QQ739553C&k={x}", LEXICON) == [(n + 8, n + 17, "ID_NUMBER")]
+    assert personal.find("0f3a9b7c21" * 40, LEXICON) == []
+
+
 def test_personal_tables(spark):
     df = spark.createDataFrame([("mask_in", 1, "mail a@b.test", 0), ("call_in", 1, None, 0), ("call_in", 2, "x" * 300_000 + " a@b.test", 0)], "src string, record_id bigint, text string, start_pos int")
     assert sorted((r["src"], r["record_id"], r["end_pos"] - r["start_pos"]) for r in personal.spans(df, LEXICON).collect()) == [("call_in", 2, 8), ("mask_in", 1, 8)]
