@@ -78,6 +78,21 @@ def test_network_learns(spark):
     assert [s[2] for s in langid.Identifier(net).segments([mixed])[0]] == ["en", "fr"]
 
 
+def test_short_stretches_keep_their_segment():
+    who = langid.Identifier(langid.Network.new(len(langid.LANGS)))
+    parts = {"The children walked along the river.": ("en", 0.99), "Guten Tag!": ("de", 0.99), "Rosk Pellinore": ("fr", 0.6), "The lamp arrived with a small scratch.": ("en", 0.99)}
+    for given, (lang, sure) in parts.items():
+        who.seen[langid.plain(given)] = p = langid.np.full(10, (1 - sure) / 9)
+        p[langid.LANGS.index(lang)] = sure
+    text = "\n".join([*parts, "q" * 40])
+    found = who.segments([text])[0]
+    # the greeting is a segment, the unclear name goes with the sentences, a code has no language
+    assert [(text[a:b], lang, whole) for a, b, lang, _, whole in found] == [
+        ("The children walked along the river.", "en", True), ("Guten Tag!", "de", False), ("Rosk Pellinore\nThe lamp arrived with a small scratch.", "en", True)
+    ]
+    assert all(0 < f[3] <= 1 for f in found)
+
+
 # ---- 3 ----
 
 

@@ -7,8 +7,9 @@ sentences of ``lang_samples`` and a bounded sample of requests with their own la
 before training each sentence gets the label under which its words mostly occur.
 
 A text is cut into sentences; a sentence's confidence is the mean probability over its
-windows. Neighbouring sentences of one language form a segment; the document takes the
-language with the most characters. What has no words (null, empty, numbers, codes) gets
+windows. What has words but is no whole sentence (a greeting, a heading, a name) is classified
+too and needs clear evidence to differ from the sentences around it. Neighbouring stretches of
+one language form a segment; the document takes the language with the most characters. What has no words (null, empty, numbers, codes) gets
 no language: no segments, and a null language with confidence 0.
 """
 
@@ -114,6 +115,10 @@ def plain(sentence: str) -> str:
     return _GAP.sub(" ", _NOISE.sub(" 0 ", sentence)).strip().lower()
 
 
+def _words_of(given: str) -> list[str]:
+    return [w for w in _NOISE.sub(" ", given.translate(_GONE)).replace("/", " ").split() if len(w) <= LONGEST_WORD and _TOKEN.fullmatch(w)]
+
+
 def is_sentence(sentence: str, given: str) -> bool:
     """Whether a plain sentence is one: enough words, and not only names and labels.
 
@@ -123,8 +128,7 @@ def is_sentence(sentence: str, given: str) -> bool:
     wide = len(_WIDE.findall(sentence))
     if wide:
         return wide >= 8 and (given.rstrip(_MARKS)[-1:] in "。！？!?.…" or bool(_GRAMMAR.search(given)))
-    words = [w for w in _NOISE.sub(" ", given.translate(_GONE)).replace("/", " ").split() if len(w) <= LONGEST_WORD and _TOKEN.fullmatch(w)]
-    words = [w.strip(_OUTER) for w in words]
+    words = [w.strip(_OUTER) for w in _words_of(given)]
     if len(words) < 5:
         return False
     small = sum(w[0].islower() for w in words)
@@ -251,14 +255,15 @@ class Identifier:
                 self.seen[t] = np.exp(np.log(p[a:b] + 1e-6).mean(0))
 
     def verdicts(self, found: list[tuple]) -> list[tuple[int, float]]:
-        """(language, confidence) of each sentence; an unclear one leans on the rest of its text."""
+        """(language, confidence) of each stretch; an unclear one, or one that is no whole sentence, leans on the sentences of its text."""
         each = np.array([self.seen[f[2]] for f in found])
         each /= each.sum(1, keepdims=True)
-        size = np.array([min(f[1] - f[0], 200) for f in found], float)
+        sentence = np.array([f[3] for f in found], bool)
+        size = np.array([min(f[1] - f[0], 200) for f in found], float) * (sentence if sentence.any() else 1)
         whole = (each * size[:, None]).sum(0) / size.sum()
         leaning = each * (whole + 0.05)
         leaning /= leaning.sum(1, keepdims=True)
-        unclear = each.max(1) < 0.9
+        unclear = (each.max(1) < 0.9) | (~sentence & sentence.any())
         each[unclear] = leaning[unclear]
         return [(int(p.argmax()), float(p.max())) for p in each]
 
@@ -285,9 +290,9 @@ class Identifier:
                     rows.append((a, b, p, whole))
                 elif _WORD.search(p.replace("0", " ")):
                     rows.append((a, b, p, False))
-            # what is no sentence has a language of its own only if nothing in the text is one
             if any(r[3] for r in rows):
-                rows = [r for r in rows if r[3]]
+                # beside sentences, a code or link alone has no language
+                rows = [r for r in rows if r[3] or _words_of(t[r[0] : r[1]]) or _WIDE.search(r[2])]
             cut.append(rows)
         self.classify([r[2] for rows in cut for r in rows])
         missing = [r[2] for rows in cut for r in rows if r[2] not in self.seen]
@@ -297,6 +302,7 @@ class Identifier:
 
 
 SURE = 0.5  # least confidence of a sentence that counts as found
+CLEAR = 0.8  # least confidence of another stretch whose language counts for the document
 
 
 def fit(samples: list[tuple[str, str]], texts: list[tuple[str, str]], epochs: int = 4) -> Network:
@@ -379,7 +385,11 @@ def segments(df: DataFrame, network: Network, key: str = "request_id", text: str
 
 
 def documents(df: DataFrame, network: Network, key: str = "request_id", text: str = "text") -> DataFrame:
-    """key, lang, confidence, n_languages: the language with the most characters, its share of them times its confidence."""
+    """key, lang, confidence, n_languages: the language with the most characters, its share of them times its confidence.
+
+    lang is chosen among, and n_languages counts, the languages of whole sentences and of shorter stretches with
+    a confidence of CLEAR, or all if there are none; the share is one of all stretches.
+    """
     weights = network.weights
 
     def make():
@@ -392,11 +402,12 @@ def documents(df: DataFrame, network: Network, key: str = "request_id", text: st
                 for a, b, lang, sure, _ in found:
                     n, s = sizes.get(lang, (0, 0.0))
                     sizes[lang] = (n + b - a, s + sure * (b - a))
-                best = max(sizes, key=lambda x: (sizes[x][0], x), default=None)
+                clear = {lang for _, _, lang, sure, whole in found if whole or sure >= CLEAR} or set(sizes)
+                best = max(clear, key=lambda x: (sizes[x][0], x), default=None)
                 total = sum(n for n, _ in sizes.values())
                 langs.append(best)
                 sures.append(round(sizes[best][1] / total, 4) if best else 0.0)
-                counts.append(len(sizes))
+                counts.append(len(clear))
             return [keys, langs, sures, counts]
 
         return work
