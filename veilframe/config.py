@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 
 # Entity types with their numeric ids.
@@ -98,7 +98,8 @@ class PatternSpec:
 
     ``hint`` is a cheap necessary condition (a regular expression) tried first, so
     that rows without any chance skip the pattern itself. ``fast`` is the value in a form
-    with the same matches that a backtracking engine reads in linear time.
+    with the same matches that a backtracking engine reads in linear time. ``validate`` takes
+    the matched value (a column) and gives its score, or null for the score of the pattern.
     """
 
     name: str
@@ -110,3 +111,4 @@ class PatternSpec:
     hint: str = ""
     languages: tuple = ()
     fast: str = ""
+    validate: Callable | None = None

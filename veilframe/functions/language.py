@@ -18,6 +18,11 @@ ZH_TAGS = (("zh", 4), ("zh-cn", 5), ("zh-tw", 6), ("zh-hk", 7), ("zh-hans", 8),
 HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _count(text: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(text, F.lit(f"[^{chars}]"), F.lit("")))
 
@@ -104,6 +109,61 @@ def ner_model(tag: Column) -> Column:
     return F.when(is_zh_family(tag), "zh").otherwise("en")
 
 
+# Frequent function words that mark a language, most of them in one language only.
+FUNCTION_WORDS = {
+    "en": "the and of is was are with for this that have you not they from which would there their what".split(),
+    "de": "der die das und ist nicht ich wir sie ein eine mit auf für von dem den wird auch sind".split(),
+    "fr": "le les des est et une dans pour que qui vous nous sur pas avec sont être cette ce du".split(),
+    "es": "el los las una por para que con del está pero como más muy su este hay desde son lo".split(),
+    "it": "il gli della che non sono è di una per questo nella anche più alla con dei lo ha suo".split(),
+    "pt": "os uma não para com do da em são está mais por como dos foi seu sua ao você isso".split(),
+    "nl": "het een van niet dat zijn voor met op aan ook er maar naar heeft wordt deze bij hij de".split(),
+}
+# Scripts that are counted, and those that stand for one language.
+SCRIPTS = {"latin": r"A-Za-z\x{C0}-\x{24F}", "han": HAN, "kana": r"\x{3041}-\x{30FF}", "hangul": r"\x{AC00}-\x{D7AF}", "cyrillic": r"\x{400}-\x{4FF}", "arabic": r"\x{600}-\x{6FF}", "greek": r"\x{370}-\x{3FF}"}
+SCRIPT_LANGUAGES = {"han": "zh", "hangul": "ko", "cyrillic": "ru", "arabic": "ar", "greek": "el"}
+
+
+def statistical_language(text: Column) -> Column:
+    """A language by counts: of letters by script, and for Latin letters of frequent function words.
+
+    Kana among the characters is Japanese; a script with more than half of the letters gives its
+    language; else the language with most function words (ties in the order of the table). Texts
+    without letters or such words, null and empty ones are English.
+    """
+    given = F.coalesce(text, F.lit(""))
+
+    def decide(n):
+        letters = sum((n[name] for name in SCRIPTS), F.lit(0))
+        out = F.when(letters == 0, "en").when((n["kana"] > 0) & (n["kana"] * 10 >= n["han"] + n["kana"]), "ja")
+        for name, lang in SCRIPT_LANGUAGES.items():
+            out = out.when(n[name] * 2 > letters, lang)
+        most = F.greatest(*[n[lang] for lang in FUNCTION_WORDS])
+        for lang in FUNCTION_WORDS:
+            out = out.when((most > 0) & (n[lang] == most), lang)
+        return out.otherwise("en")
+
+    def count(words):
+        def hits_of(own):
+            return F.size(F.filter(words, lambda w: w.isin(*own)))
+
+        hits = [hits_of(own).alias(lang) for lang, own in FUNCTION_WORDS.items()]
+        return let(F.struct(*hits, *[_count(given, chars).alias(name) for name, chars in SCRIPTS.items()]), decide)
+
+    return let(F.split(F.lower(given), r"[^\p{L}]+"), count)
+
+
+def convert_script(text: Column, given: str = SIMPLIFIED_CHARS, wanted: str = TRADITIONAL_CHARS) -> Column:
+    """Characters of one script of Chinese as those of the other, one for one, so offsets stay. Pass longer tables for full coverage."""
+    return F.translate(text, given, wanted)
+
+
+def script_by_conversion(text: Column, simplified: str = SIMPLIFIED_CHARS, traditional: str = TRADITIONAL_CHARS) -> Column:
+    """Hant if only the conversion to simplified changes the text, else Hans."""
+    to_traditional, to_simplified = convert_script(text, simplified, traditional), convert_script(text, traditional, simplified)
+    return F.when((to_traditional == text) & (to_simplified != text), "Hant").otherwise("Hans")
+
+
 def rules_language(text: Column) -> Column:
     """Rules profile: from ten letters of both scripts on, 80 % of one script decides; else the quick test; blank is en.
 

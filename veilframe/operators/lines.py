@@ -16,14 +16,14 @@ def mask_lines(df: DataFrame, text="text", cfg: MaskConfig | None = None, masked
     ``line_meta`` is an array with one metadata array a line. Null text: null and no lines.
     """
     cfg = cfg or MaskConfig()
-
-    def line(value):
-        found = M.detect(value, cfg, **how)
-        return F.struct(M.splice(value, found).alias("masked"), M.build_meta(value, found).alias("meta"))
-
-    rows = df.withColumn("__lines", F.transform(F.split(F.col(text), "\r?\n", -1), line))
+    lines = F.split(F.col(text), "\r?\n", -1)
+    # the spans of a line are read twice, so they are kept beside it first
+    rows = df.withColumn("__lines", F.transform(lines, lambda x: F.struct(x.alias("line"), M.detect(x, cfg, **how).alias("found"))))
     return rows.withColumns(
-        {masked: F.array_join(F.transform("__lines", lambda x: x["masked"]), "\n"), meta: F.coalesce(F.transform("__lines", lambda x: x["meta"]), F.array().cast(f"array<array<{M.META}>>"))}
+        {
+            masked: F.array_join(F.transform("__lines", lambda x: M.splice(x["line"], x["found"])), "\n"),
+            meta: F.coalesce(F.transform("__lines", lambda x: M.build_meta(x["line"], x["found"])), F.array().cast(f"array<array<{M.META}>>")),
+        }
     ).drop("__lines")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from veilframe.config import MaskConfig
 from veilframe.operators import spans as S
-from veilframe.patterns import PROFILES
+from veilframe.patterns import FALLBACK, PROFILES, with_extra
 
 META = "struct<entity_id:int,entity_type:string,matched_text:string,score:double>"
 META_TYPE = T.ArrayType(
@@ -28,22 +28,46 @@ def enabled(spans: Column, cfg: MaskConfig) -> Column:
     return F.filter(spans, lambda s: s["entity_type"].isin(*types)) if types else S.no_spans()
 
 
-def detect(text: Column, cfg: MaskConfig, profile: str = "core", ner: Column | None = None, language: Column | None = None, min_score: float = 0.5) -> Column:
+def detect(
+    text: Column,
+    cfg: MaskConfig,
+    profile: str = "core",
+    ner: Column | None = None,
+    language: Column | None = None,
+    min_score: float = 0.5,
+    extra=(),
+    fallback: bool = False,
+) -> Column:
     """The spans that get placeholders.
 
     core: a switched-off type still takes its range and keeps its text, so the switch
-    comes after overlap resolution. rules: the switch comes first, then overlaps.
+    comes after overlap resolution. rules: the switch comes first, then overlaps; a language
+    without rules of its own is read as English, and ``fallback`` adds the language-free
+    pass of a few patterns with high scores. ``extra`` are further patterns of the caller.
     """
-    found = S.all_spans(text, PROFILES[profile], ner, language, min_score if profile == "core" else 0.0)
-    found = S.valid(found, text, min_score if profile == "core" else 0.0)
+    specs = with_extra(PROFILES[profile], extra)
     if profile == "core":
+        found = S.valid(S.all_spans(text, specs, ner, language, min_score), text, min_score)
         return enabled(S.resolve_overlaps(found), cfg)
-    found = S.drop_prefix_spans(found, text)
-    found = S.min_score_filter(found, RULE_FILTERS, F.lit("all") if language is None else language)
+    language = engine_language(language)
+    found = S.drop_prefix_spans(S.valid(S.all_spans(text, specs, ner, language, 0.0), text, 0.0), text)
+    found = S.min_score_filter(found, RULE_FILTERS, language)
+    if fallback:
+        found = F.concat(found, S.all_spans(text, FALLBACK, min_score=0.0))
     found = S.whitelist_filter(found, {"all": RULE_WHITELIST})
     return S.resolve_overlaps(enabled(found, cfg))
 
 
+RULE_LANGUAGES = ("en", "zh", "fr")
+
+
+def engine_language(language: Column | None, available=RULE_LANGUAGES) -> Column:
+    """The language whose rules are applied: the given one in lower case, or English where there are none for it."""
+    if language is None:
+        return F.lit("en")
+    return F.when(F.lower(language).isin(*available), F.lower(language)).otherwise("en")
+
+
 # Thresholds and whitelist of the rules profile.
 RULE_FILTERS = (("all", "*", 0.55, False),)
 RULE_WHITELIST = (
@@ -56,25 +80,40 @@ def placeholder(entity_type: Column, entity_id: Column) -> Column:
     return F.concat(F.lit("__PII_"), entity_type, F.lit("_"), entity_id.cast("string"), F.lit("__"))
 
 
-def splice(text: Column, spans: Column, put=None) -> Column:
-    """Replaces each span (ordered, disjoint) by ``put(span, id)``, a placeholder unless given. Null text stays null."""
-    put = put or (lambda s, i: placeholder(s["entity_type"], i))
-    start = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("n"), F.lit("").alias("out"))
+def walk(text: Column, spans: Column, each) -> Column:
+    """``each(span, id, gap before it, its text)`` for ordered, disjoint spans.
+
+    A substring is sought from the start of its string, so many spans are read by blocks, each from its own stretch of the text.
+    """
 
-    def step(acc, s):
-        gap = F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        return F.struct(s["end"].alias("pos"), (acc["n"] + 1).alias("n"), F.concat(acc["out"], gap, put(s, acc["n"])).alias("out"))
+    def block(part, whole, base, first):
+        def one(s, i):
+            before = F.when(i == 0, base).otherwise(F.element_at(part, F.greatest(i, F.lit(1)))["end"])
+            return each(s, first + i + 1, F.substring(whole, before - base + 1, s["start"] - before), F.substring(whole, s["start"] - base + 1, s["end"] - s["start"]))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+        return F.transform(part, one)
+
+    def by_blocks(slices):
+        def one(part, i):
+            base = F.when(i == 0, 0).otherwise(F.element_at(F.element_at(slices, F.greatest(i, F.lit(1))), -1)["end"])
+            stretch = F.substring(text, base + 1, F.element_at(part, -1)["end"] - base)
+            return S.let(F.struct(stretch.alias("t"), base.alias("b")), lambda x: block(part, x["t"], x["b"], i * S.BLOCK))
+
+        return F.flatten(F.transform(slices, one))
+
+    return S.let(spans, lambda p: F.when(F.size(p) <= S.BLOCK, block(p, text, F.lit(0), F.lit(0))).otherwise(S.let(S.blocks(p), by_blocks)))
+
+
+def splice(text: Column, spans: Column, put=None) -> Column:
+    """Replaces each span (ordered, disjoint) by ``put(span, id, its text)``, a placeholder unless given. Null text stays null."""
+    put = put or (lambda s, i, _: placeholder(s["entity_type"], i))
+    done = F.array_join(walk(text, spans, lambda s, i, gap, value: F.concat(gap, put(s, i, value))), "")
+    rest = F.substring(text, F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0)) + 1, F.length(text))
+    return F.concat(done, rest)
 
 
 def build_meta(text: Column, spans: Column) -> Column:
-    return F.transform(
-        spans,
-        lambda s, i: F.struct(
-            (i + 1).alias("entity_id"), s["entity_type"].alias("entity_type"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("matched_text"), s["score"].alias("score")
-        ),
-    )
+    return walk(text, spans, lambda s, i, gap, value: F.struct(i.alias("entity_id"), s["entity_type"].alias("entity_type"), value.alias("matched_text"), s["score"].alias("score")))
 
 
 def pii_spans(df: DataFrame, text="text", cfg: MaskConfig | None = None, out: str = "spans", **how) -> DataFrame:
@@ -91,7 +130,7 @@ def pii_entities(df: DataFrame, keys, text="text", cfg: MaskConfig | None = None
     """One row per masked span: the key columns, entity_id, entity_type, start, end, score, entity_text. Rows without spans vanish."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     rows = pii_spans(df.select(*keys, text), text, cfg, "__spans", **how)
-    return rows.select(*keys, F.col(text).alias("__text"), F.explode("__spans").alias("__s")).select(
+    return S.explode_rows(rows, "__spans", "__s", *keys, F.col(text).alias("__text")).select(
         *keys,
         F.col("__s.entity_id").alias("entity_id"),
         F.col("__s.entity_type").alias("entity_type"),
@@ -103,7 +142,7 @@ def pii_entities(df: DataFrame, keys, text="text", cfg: MaskConfig | None = None
 
 
 def mask(df: DataFrame, text="text", cfg: MaskConfig | None = None, masked: str = "masked_text", meta: str = "mask_meta", **how) -> DataFrame:
-    """Adds masked text and metadata; ``how``: profile, ner, language, min_score as in :func:`detect`.
+    """Adds masked text and metadata; ``how``: profile, ner, language, min_score, extra, fallback as in :func:`detect`.
 
     The spans are their own projection, read by both outputs, so that the patterns run once.
     """
@@ -138,8 +177,7 @@ def anonymize(df: DataFrame, operators: dict, text="text", cfg: MaskConfig | Non
             return F.concat(F.substring(value, F.lit(1), rest), stars) if op.get("from_end") else F.concat(stars, F.substring(value, n + 1, rest))
         raise ValueError(f"no such operator: {kind}")
 
-    def put(s, _):
-        value = F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])
+    def put(s, _, value):
         done = one(operators.get("DEFAULT", {"type": "replace"}), s, value)
         for kind, op in operators.items():
             if kind != "DEFAULT":

@@ -7,7 +7,9 @@ takes any function from texts to tokens; without one, detection is by pattern on
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import unicodedata
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -129,46 +131,43 @@ def no_items() -> Column:
     return F.array().cast(ITEMS)
 
 
+# Marks that join the parts of a word; word pieces are also sought without them.
+CONNECTORS = "-'`‐‑‒–—―−·・⁃∙"
+
+
+class _Reading:
+    """A text in a comparable form, with the place in the text that each of its characters comes from."""
+
+    def __init__(self, size: int, parts: Iterable[tuple[int, str]]):
+        pairs = list(parts)
+        self.form = "".join(c for _, c in pairs)
+        self.places = [i for i, _ in pairs] + [size]
+
+    def seek(self, wanted: str, after: int) -> tuple[int, int] | None:
+        """Source range of the first hit at or after a source place."""
+        at = self.form.find(wanted, bisect_left(self.places, after)) if wanted else -1
+        return None if at < 0 else (self.places[at], self.places[at + len(wanted)])
+
+
+def _bare(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+
+
 def align_tokens(text: str, tokens: list[str]) -> list[tuple[int, int]]:
     """Offsets of word pieces in a text, for use inside a recognizer.
 
-    Each piece is sought ignoring case from the end of the previous one, then from the
-    beginning, then with accents and connecting marks removed; a piece that is not found
-    gets an empty range at the cursor. Offsets count code points of ``text``.
+    A piece is sought, ignoring case, behind the previous piece and then anywhere; failing that, the
+    same two searches go over the text without accents and connecting marks. A piece that is nowhere
+    gets an empty range where the previous one ended. Offsets count code points of ``text``.
     """
-    import re
-    import unicodedata
-
-    low = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    bare, origin = [], []
-    for i, ch in enumerate(low):
-        for c in unicodedata.normalize("NFD", ch):
-            if not unicodedata.combining(c) and not re.match("[-'`‐-―−·・⁃∙]", c):
-                bare.append(c)
-                origin.append(i)
-    bare_text = "".join(bare)
-    out, cursor, bare_cursor = [], 0, 0
+    lowered = [c.lower() if len(c.lower()) == 1 else c for c in text]
+    exact = _Reading(len(text), enumerate(lowered))
+    loose = _Reading(len(text), ((i, x) for i, c in enumerate(lowered) for x in _bare(c) if x not in CONNECTORS))
+    out: list[tuple[int, int]] = []
     for token in tokens:
-        piece = (token or "").removeprefix("##")
-        want = piece.lower()
-        at = -1
-        if want:
-            at = low.find(want, cursor)
-            at = at if at >= 0 else low.find(want)
-        if at >= 0:
-            cursor = at + len(piece)
-            bare_cursor = next((k for k in range(len(origin)) if origin[k] >= cursor), len(origin))
-            out.append((at, cursor))
-            continue
-        want = "".join(c for c in unicodedata.normalize("NFD", want) if not unicodedata.combining(c))
-        at = -1
-        if want:
-            at = bare_text.find(want, bare_cursor)
-            at = at if at >= 0 else bare_text.find(want)
-        if at < 0:
-            out.append((cursor, cursor))
-            continue
-        bare_cursor = at + len(want)
-        begin, cursor = origin[at], origin[bare_cursor] if bare_cursor < len(origin) else len(text)
-        out.append((begin, cursor))
+        behind = out[-1][1] if out else 0
+        piece = (token or "").removeprefix("##").lower()
+        searches = ((exact, piece, behind), (exact, piece, 0), (loose, _bare(piece), behind), (loose, _bare(piece), 0))
+        hits = (reading.seek(wanted, after) for reading, wanted, after in searches)
+        out.append(next(filter(None, hits), (behind, behind)))
     return out

@@ -1,25 +1,26 @@
 """Span algebra as column expressions: find, filter, resolve overlaps.
 
 A span is ``struct<start int, end int, entity_type string, score double, seq int>``
-in code points, half-open. Null text has a null span array in :func:`find_spans` and
-an empty one after :func:`all_spans`; empty text has no spans. Everything is row-local.
+in code points, half-open. Null and empty texts have no spans. Everything is row-local.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.config import PatternSpec
+from veilframe.functions.language import let
 
 SPAN = "struct<start:int,end:int,entity_type:string,score:double,seq:int>"
 # A private-use character that frames matches; where a text holds it, it is blanked
 # for matching only (same length, so offsets hold).
 _FRAME = ""
 NO_SPANS = f"array<{SPAN}>"
+BLOCK = 256  # items a fold takes at once; an even number, so that a slice of gaps and matches begins with a gap
 SPANS_TYPE = T.ArrayType(
     T.StructType([T.StructField(n, t) for n, t in (("start", T.IntegerType()), ("end", T.IntegerType()), ("entity_type", T.StringType()), ("score", T.DoubleType()), ("seq", T.IntegerType()))])
 )
@@ -29,46 +30,74 @@ def no_spans() -> Column:
     return F.array().cast(NO_SPANS)
 
 
-def find_spans(text: Column, spec: PatternSpec, seq: int = 0) -> Column:
-    """All matches of one pattern, left to right.
+def blocks(items: Column) -> Column:
+    """An array in slices of ``BLOCK``: a fold that grows an array copies it at each step, so long ones are folded by slices."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / BLOCK).cast("int") - 1), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
 
-    One regex pass frames each match (``regexp_replace``), a split yields the
-    alternating gaps and matches, and a fold turns lengths into offsets. Only lengths
-    of strings are used, so characters beyond the basic plane count as one.
-    """
+
+def running(values: Column, step) -> Column:
+    """[0, step(0, v1), step(step(0, v1), v2), ...] of a short array."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))
+
+
+def _pieces(text: Column, spec: PatternSpec) -> Column:
+    """Gaps and matches of one pattern in turn: one regex pass frames each match and a split cuts there. Empty if nothing can match."""
     flags = "(?U" + spec.flags + ")"
     framed = F.regexp_replace(F.translate(text, _FRAME, " "), F.lit(f"{flags}({spec.label})({spec.fast or spec.value})"), F.lit(f"$1{_FRAME}$2{_FRAME}"))
-    pieces = F.split(framed, _FRAME)
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), no_spans().alias("out"))
+    # the test must see what the pattern sees: Unicode digits, blanks and case
+    return F.when(text.rlike(flags + spec.hint), F.split(framed, _FRAME)) if spec.hint else F.split(framed, _FRAME)
+
+
+def _located(pieces: Column, entity_type: Column, score, seq: Column) -> Column:
+    """Spans of the matches among the pieces; ``score`` takes the matched value.
+
+    Only lengths of strings are used, so characters beyond the basic plane count as one.
+    """
 
     def step(acc, piece):
         end = acc["pos"] + F.length(piece)
-        span = F.struct(
-            acc["pos"].alias("start"), end.alias("end"), F.lit(spec.entity_type).alias("entity_type"), F.lit(float(spec.score)).alias("score"), F.lit(seq).alias("seq")
-        )
+        span = F.struct(acc["pos"].alias("start"), end.alias("end"), entity_type.alias("entity_type"), score(piece).alias("score"), seq.alias("seq"))
         return F.struct(end.alias("pos"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    # the test must see what the pattern sees: Unicode digits, blanks and case
-    return F.when(text.rlike(flags + spec.hint), found).otherwise(no_spans()) if spec.hint else found
+    def fold(part, pos):
+        return F.aggregate(part, F.struct(pos.alias("pos"), F.lit(False).alias("hit"), no_spans().alias("out")), step, lambda acc: acc["out"])
+
+    def by_blocks(slices):
+        ends = running(F.transform(slices, lambda b: F.aggregate(b, F.lit(0), lambda n, p: n + F.length(p))), lambda a, n: a + n)
+        return let(ends, lambda e: F.flatten(F.transform(slices, lambda b, i: fold(b, F.element_at(e, i + 1)))))
+
+    return F.when(F.size(pieces) > 1, let(blocks(pieces), by_blocks)).otherwise(no_spans())
+
+
+def find_spans(text: Column, spec: PatternSpec, seq: int = 0) -> Column:
+    """All matches of one pattern, left to right. A validator of the pattern may give a match a score of its own. Null text has no spans."""
+    given = F.lit(float(spec.score))
+    score = (lambda value: F.coalesce(spec.validate(value).cast("double"), given)) if spec.validate else (lambda value: given)
+    return let(_pieces(text, spec), lambda p: _located(p, F.lit(spec.entity_type), score, F.lit(seq)))
 
 
 def all_spans(text: Column, specs, extra: Column | None = None, language: Column | None = None, min_score: float = 0.5) -> Column:
     """Spans of all patterns, then ``extra`` spans (entities), in that tie-break order.
 
     Patterns whose score is below ``min_score`` are left out of the plan. A pattern
-    bound to languages needs ``language``.
+    bound to languages needs ``language``. What turns matches into spans stands in the plan
+    once for all patterns, not once a pattern.
     """
-    parts = []
+    shared, parts = [], []
     for seq, spec in enumerate(specs):
+        if spec.validate:
+            parts.append(find_spans(text, spec, seq))
+            continue
         if spec.score < min_score:
             continue
-        found = find_spans(text, spec, seq)
+        pieces = _pieces(text, spec)
         if spec.languages:
             if language is None:
                 continue
-            found = F.when(F.lower(language).isin(*spec.languages), found).otherwise(no_spans())
-        parts.append(found)
+            pieces = F.when(F.lower(language).isin(*spec.languages), pieces)
+        shared.append(F.struct(pieces.alias("pieces"), F.lit(spec.entity_type).alias("entity_type"), F.lit(float(spec.score)).alias("score"), F.lit(seq).alias("seq")))
+    if shared:
+        parts.insert(0, F.flatten(F.transform(F.array(*shared), lambda x: _located(x["pieces"], x["entity_type"], lambda _: x["score"], x["seq"]))))
     if extra is not None:
         parts.append(F.coalesce(extra, no_spans()))
     return F.coalesce(F.concat(*parts), no_spans()) if parts else no_spans()
@@ -76,7 +105,7 @@ def all_spans(text: Column, specs, extra: Column | None = None, language: Column
 
 def valid(spans: Column, text: Column, min_score: float = 0.5) -> Column:
     """Drops spans under the score and spans that do not lie inside the text."""
-    return F.filter(spans, lambda s: (s["score"] >= min_score) & (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(text)))
+    return let(F.length(text), lambda n: F.filter(spans, lambda s: (s["score"] >= min_score) & (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= n)))
 
 
 def dedup_ranges(spans: Column) -> Column:
@@ -91,11 +120,7 @@ def dedup_ranges(spans: Column) -> Column:
     )
 
 
-def resolve_overlaps(spans: Column) -> Column:
-    """Greedy choice by score, then length, then start, then seq; result ordered by start.
-
-    Quadratic in the spans of one text. Touching spans do not overlap.
-    """
+def _greedy(spans: Column) -> Column:
     keyed = F.array_sort(
         F.transform(spans, lambda s: F.struct((-s["score"]).alias("a"), (s["start"] - s["end"]).alias("b"), s["start"].alias("c"), s["seq"].alias("d"), s.alias("x")))
     )
@@ -107,6 +132,31 @@ def resolve_overlaps(spans: Column) -> Column:
     return F.array_sort(taken)
 
 
+def _groups(spans: Column) -> Column:
+    """Spans ordered by start, cut wherever none reaches over the cut; spans of two groups cannot overlap."""
+
+    def opens(slices):
+        tops = running(F.transform(slices, lambda b: F.array_max(F.transform(b, lambda x: x["end"]))), F.greatest)
+
+        def one(b, top):
+            start = F.struct(top.alias("top"), F.array().cast("array<boolean>").alias("out"))
+            return F.aggregate(b, start, lambda acc, x: F.struct(F.greatest(acc["top"], x["end"]).alias("top"), F.concat(acc["out"], F.array(x["start"] >= acc["top"])).alias("out")), lambda acc: acc["out"])
+
+        return let(tops, lambda t: F.flatten(F.transform(slices, lambda b, i: one(b, F.element_at(t, i + 1)))))
+
+    first = let(let(blocks(spans), opens), lambda o: F.filter(F.sequence(F.lit(1), F.size(o)), lambda i: F.element_at(o, i)))
+    return let(first, lambda c: F.transform(c, lambda at, i: F.slice(spans, at, F.coalesce(F.try_element_at(c, i + 2), F.size(spans) + 1) - at)))
+
+
+def resolve_overlaps(spans: Column) -> Column:
+    """Greedy choice by score, then length, then start, then seq; result ordered by start.
+
+    Touching spans do not overlap. Many spans are first cut into groups that cannot overlap, so
+    the work is quadratic only in the spans of one such group.
+    """
+    return let(F.array_sort(spans), lambda s: F.when(F.size(s) <= BLOCK, _greedy(s)).otherwise(F.flatten(F.transform(_groups(s), _greedy))))
+
+
 def merge_spans(left: Column, right: Column, whitelist=None, blacklist=None, threshold: float = 0.0) -> Column:
     """Concatenates two lists, filters by type and score, orders by range and keeps the best span of each range."""
     both = F.concat(F.coalesce(left, no_spans()), F.coalesce(right, no_spans()))
@@ -171,8 +221,13 @@ def instruction_prefix_end(text: Column) -> Column:
 
 def drop_prefix_spans(spans: Column, text: Column) -> Column:
     """Drops spans that end inside the instruction prefix."""
-    end = instruction_prefix_end(text)
-    return F.filter(spans, lambda s: (end == 0) | (s["end"] > end))
+    return let(instruction_prefix_end(text), lambda end: F.filter(spans, lambda s: (end == 0) | (s["end"] > end)))
+
+
+def explode_rows(df: DataFrame, array: str, out: str, *columns) -> DataFrame:
+    """One row an element. Unlike a plain ``explode`` this gets no filter of the array's size put before it, which
+    would compute the array a second and third time."""
+    return df.select(*columns, F.explode_outer(array).alias(out)).where(F.col(out).isNotNull())
 
 
 def byte_start(text: Column, start: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veilframe.config import ENTITY_IDS
 from veilframe.config import PatternSpec as P
 
 # An address begins where its run of local characters begins, or where the last match ended.
@@ -54,5 +55,24 @@ FALLBACK = tuple(
 PROFILES = {"core": CORE, "rules": RULES}
 
 
+def with_extra(profile: tuple, extra=()) -> tuple:
+    """A profile and further patterns: those of a type follow its own, a new type takes its place by number
+    (unnumbered ones come last), and a pattern that is already there is skipped."""
+    known = {(p.label, p.value, p.flags) for p in profile}
+    new = [p for p in dict.fromkeys(extra) if (p.label, p.value, p.flags) not in known]
+    if not new:
+        return tuple(profile)
+    own = [p.entity_type for p in profile]
+    last = {kind: at for at, kind in enumerate(own)}
+
+    def place(kind: str) -> int:
+        if kind in last:
+            return last[kind]
+        lower = [at for k, at in last.items() if ENTITY_IDS.get(k, 99) < ENTITY_IDS.get(kind, 99)]
+        return max(lower, default=-1)
+
+    return tuple(p for *_, p in sorted([(at, 0, 0, p) for at, p in enumerate(profile)] + [(place(p.entity_type), 1, n, p) for n, p in enumerate(new)], key=lambda x: x[:3]))
+
+
 def by_name(name: str) -> P:
     return next(p for profile in PROFILES.values() for p in profile if p.name == name)
