@@ -33,6 +33,7 @@ a а ɑ  c с ϲ  d ԁ  e е  g ɡ  h һ  i і  j ј ϳ  l ӏ  o о ο  p р  q
 # Characters without a shape of their own.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯﻿￹￺￻"
 REMEMBERED = 100_000  # words kept by a worker before it starts anew
+HOT, SALTS, MAX_HOT = 20_000, 64, 10_000  # records of a text that are spread over parts, the parts, and how many such texts there are at most
 MAX_FREQUENCIES = sys.maxunicode + 1  # rows of character counts the driver may read: one a code point
 
 
@@ -180,11 +181,19 @@ class Rewriter:
 
     def _word(self, word: str) -> str:
         given = word
-        for _ in range(8):  # a rewriting can bring a letter and an accent together
-            done = self.once(word)
-            if done == word:
-                break
+        # A rewriting can bring a letter and an accent together, so it is repeated until nothing changes. Every
+        # round but the last makes the word shorter or brings a symbol nearer to the form that stands for its class;
+        # should forms ever lead back to one another, the least of the circle is taken, so the end is the same for all.
+        met = {word}
+        while (done := self.once(word)) != word:
             word = done
+            if word in met:
+                circle = [word]
+                while (done := self.once(circle[-1])) != word:
+                    circle.append(done)
+                word = min(circle)
+                break
+            met.add(word)
         if len(given) <= 40:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
@@ -229,11 +238,11 @@ def frequencies(df: DataFrame, text: str = "text") -> dict[str, int]:
 def normalise(df: DataFrame, keys: list[str], text: str = "text", out: str = "same_form", counts: Mapping[str, int] | None = None) -> DataFrame:
     """keys, text and its consistent form."""
     counts = frequencies(df, text) if counts is None else counts
-    # The table follows from the character database, its size does not grow with the data; it is built in each worker.
-    small = {c: n for c, n in counts.items() if len(c) == 1}
+    # The table follows from the character database and the counts, at most one a code point; it is built in each worker.
+    sent = df.sparkSession.sparkContext.broadcast({c: n for c, n in counts.items() if len(c) == 1})
 
     def make():
-        rewrite = _rewriter(small)
+        rewrite = _rewriter(sent.value)
 
         def work(*columns):
             return [*columns, [rewrite(t) for t in columns[-1]]]
@@ -258,21 +267,55 @@ def _rewriter(counts: Mapping[str, int]) -> Rewriter:
     return _made[key]
 
 
+def _digests(df: DataFrame, key: str, text: str, counts) -> DataFrame:
+    """(k, f, t): key, digest of the form, digest of the text, each once. Null texts have none."""
+    rows = normalise(df.where(F.col(text).isNotNull()), [key], text, "f", counts)
+    return rows.select(F.col(key).alias("k"), F.unhex(F.md5("f")).alias("f"), F.unhex(F.md5(text)).alias("t")).distinct()
+
+
+def look_alike_classes(df: DataFrame, key: str = "request_id", text: str = "text", counts: Mapping[str, int] | None = None) -> DataFrame:
+    """key, class_id, n_links: one row a record; records with the same class_id look the same.
+
+    ``n_links`` is the number of records of the class whose string is another. The result has as many
+    rows as records, whatever the size of the classes; digests are counted before they are joined, so a
+    class or text that many records share is one row in each task's share of it. Null texts have no row.
+    """
+    small = cut_lineage(_digests(df, key, text, counts))
+    same = small.groupBy("f", "t").agg(F.count("*").alias("same"))
+    whole = same.groupBy("f").agg(F.sum("same").alias("whole"))
+    links = same.join(whole, "f").select("f", "t", (F.col("whole") - F.col("same")).alias("n_links"))
+    # without links there is nothing to look up, so only records of classes with several strings are joined
+    several = links.where("n_links > 0")
+    return small.join(several, ["f", "t"], "left").select(F.col("k").alias(key), F.lower(F.hex("f")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def look_alikes(df: DataFrame, key: str = "request_id", text: str = "text", counts: Mapping[str, int] | None = None) -> DataFrame:
     """key_a, key_b: records whose texts differ but look the same, each pair once, smaller key first.
 
-    Records reduce to (key, digest of the form, digest of the text) before any shuffle. Only
+    All pairs, so the result grows with the square of a class; :func:`look_alike_classes` gives the same
+    in one row a record. Records reduce to (key, digest of the form, digest of the text) before any shuffle. Only
     digests of forms with two or more different texts go on, distinct texts are paired within a form,
     and keys are attached to the pairs last; so a form that many identical texts
-    share costs no pair among them. Null texts have no look-alikes.
+    share costs no pair among them. Records of a text that many records share are spread over ``SALTS``
+    parts, to each of which the few pairs of texts are sent. Null texts have no look-alikes.
     """
-    rows = normalise(df.where(F.col(text).isNotNull()), [key], text, "f", counts)
-    small = cut_lineage(rows.select(F.col(key).alias("k"), F.unhex(F.md5("f")).alias("f"), F.unhex(F.md5(text)).alias("t")).distinct())
+    small = cut_lineage(_digests(df, key, text, counts))
     variants = small.groupBy("f", "t").agg(F.count("*").alias("n"))
     several = variants.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where(F.col("lo") != F.col("hi")).select("f")
-    kept = variants.join(several, "f", "left_semi").select("f", "t")
-    pairs = kept.select("f", F.col("t").alias("ta")).join(kept.select("f", F.col("t").alias("tb")), "f").where("ta < tb").select("ta", "tb")
-    a = small.select(F.col("t").alias("ta"), F.col("k").alias("ka"))
-    b = small.select(F.col("t").alias("tb"), F.col("k").alias("kb"))
-    both = pairs.join(a, "ta").join(b, "tb").where(F.col("ka") != F.col("kb"))
+    kept = variants.join(several, "f", "left_semi").select("f", "t", "n")
+    a, b = (kept.select("f", F.col("t").alias(f"t{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    pairs = a.join(b, "f").where("ta < tb").select("ta", "tb", "na", "nb")
+    rows = small.select("t", "k", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int").alias("part"))
+
+    def attach(pairs, side):
+        """Keys of one side: a hot text's records lie in all parts, any other's in part 0."""
+        hot = F.col(f"n{side}") >= least
+        spread = pairs.withColumn("part", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        own = rows.join(F.broadcast(hot_texts), "t", "left").select(F.col("t").alias(f"t{side}"), F.col("k").alias(f"k{side}"), F.when(F.col("hot"), F.col("part")).otherwise(0).alias("part"))
+        return spread.join(own, [f"t{side}", "part"]).drop("part")
+
+    # Of n records, at most MAX_HOT texts can have n / MAX_HOT records each: so many rows are broadcast at most.
+    least = max(HOT, -(-small.count() // MAX_HOT))
+    hot_texts = variants.where(F.col("n") >= least).select("t", F.lit(True).alias("hot"))
+    both = attach(attach(pairs, "a"), "b").where(F.col("ka") != F.col("kb"))
     return both.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"))
