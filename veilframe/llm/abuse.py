@@ -5,9 +5,9 @@ plain form (tags, broken encodings, look-alikes, spaced letters, letters written
 stretched letters) and scored by a linear classifier over words, word pairs and character
 sequences. A document's score in a category is that of its worst sentence.
 
-The classifier is trained in numpy on labelled sentences: those below, and sentences of
-reviewed documents (``REVIEWED`` documents, chosen by a hash) labelled from the majority of
-their marks. It is regularised by counterfactuals: in every sentence that names a group of
+The classifier is trained in numpy on labelled sentences: those below, which were written
+without the tables, and sentences of reviewed documents (at most ``REVIEWED``, chosen by a
+hash), whose part in the majority of the marks is learned. It is regularised by counterfactuals: in every sentence that names a group of
 people the group is swapped for others, and differences between the scores are penalised,
 so that naming a group is no reason for a score.
 
@@ -17,6 +17,7 @@ never null.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -26,66 +27,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.arrow import map_rows
+from veilframe.llm.arrow import map_rows, sample
 from veilframe.llm.lookalikes import INVISIBLE
 from veilframe.llm.personal import one_script
 
 CATEGORIES = ("abuse", "hate", "sexual")
 REVIEWED = 6_000  # reviewed documents the driver reads for training
+LONGEST = 100_000  # characters; longer documents are not trained on
 BITS = 17
 THRESHOLD = 0.5
 REMEMBERED = 80_000
 
-# Groups of people, by language; the first word of a group of words stands for plural use.
+# Groups of people by nationality, faith, origin, sex and the like; swapped for one another in counterfactuals.
 GROUPS = {
-    "en": "foreigners|immigrants|refugees|women|men|girls|gays|lesbians|jews|muslims|christians|hindus|blacks|whites|asians|arabs|turks|poles|gypsies|northerners|southerners|hill people|river folk|old-faith lot|island people|peasants|the old|the disabled",
-    "de": "fremde|ausländer|flüchtlinge|frauen|männer|juden|muslime|christen|schwarze|türken|polen|bergleute|nordleute|inselleute|bauern",
-    "fr": "étrangers|immigrés|réfugiés|femmes|hommes|juifs|musulmans|chrétiens|noirs|arabes|gens des collines|gens du nord|gens du fleuve|paysans",
-    "es": "extranjeros|inmigrantes|refugiados|mujeres|hombres|judíos|musulmanes|cristianos|negros|árabes|del monte|del norte|del río|campesinos",
+    "en": "foreigners|immigrants|refugees|women|men|gays|lesbians|jews|muslims|christians|hindus|black people|white people|asians|arabs|turks|poles|italians|africans|mexicans|gypsies|disabled people|old people|atheists",
+    "de": "ausländer|flüchtlinge|frauen|männer|schwule|juden|muslime|christen|schwarze|türken|polen|italiener|afrikaner|behinderte|alte leute",
+    "fr": "étrangers|immigrés|réfugiés|femmes|hommes|homosexuels|juifs|musulmans|chrétiens|noirs|arabes|turcs|polonais|africains|handicapés",
+    "es": "extranjeros|inmigrantes|refugiados|mujeres|hombres|homosexuales|judíos|musulmanes|cristianos|negros|árabes|turcos|polacos|africanos|gitanos",
 }
-
-# Insults, by language; used in the sentence patterns below.
+# Insulting nouns and adjectives, by language.
 INSULTS = {
-    "en": "idiot|moron|cretin|imbecile|bastard|bitch|slut|whore|scumbag|wanker|jackass|asshole|prick|halfwit|loser|dickhead|cunt|twat|piece of shit|filthy pig|fat cow|ugly cow|dumbass|shithead|motherfucker|retard|pathetic fool|worthless rat|piece of trash|maggot",
-    "de": "idiot|arschloch|mistkerl|trottel|schlampe|hure|drecksau|wichser|hurensohn|vollidiot|missgeburt|dummkopf|schwein|stück scheiße|drecksack|blödmann|fotze",
-    "fr": "connard|salope|pute|ordure|merde|minable|imbécile|crétin|enculé|abruti|bâtard|salaud|pétasse|débile|fils de pute|con",
-    "es": "cabrón|puta|imbécil|idiota|mierda|bastardo|zorra|gilipollas|hijo de puta|basura|asqueroso|desgraciado|subnormal|capullo|cerdo",
+    "en": "idiot|moron|imbecile|cretin|bastard|bitch|slut|whore|scumbag|asshole|prick|dickhead|cunt|twat|wanker|jackass|dumbass|shithead|motherfucker|retard|loser|fool|maggot|swine|fag|faggot|pig|rat|cow|coward|scum|filth|trash|creep|halfwit|dimwit|simpleton|nobody",
+    "de": "idiot|vollidiot|arschloch|mistkerl|trottel|schlampe|hure|drecksau|wichser|hurensohn|missgeburt|dummkopf|schwein|drecksack|fotze|blödmann|versager|ratte|abschaum|penner|miststück",
+    "fr": "connard|connasse|salope|pute|ordure|imbécile|crétin|enculé|abruti|bâtard|salaud|pétasse|débile|con|raclure|minable|porc|idiot|fumier|déchet",
+    "es": "cabrón|puta|imbécil|idiota|bastardo|zorra|gilipollas|basura|desgraciado|subnormal|capullo|cerdo|estúpido|inútil|rata|escoria|mierda|cretino|perra",
+}
+HARSH = {
+    "en": "dumb|ugly|nasty|worthless|disgusting|lousy|miserable|fat|brainless|useless|goddamn",
+    "de": "dumm|blöd|hässlich|dreckig|wertlos|erbärmlich|widerlich|fett|elend|verdammt",
+    "fr": "stupide|sale|pauvre|gros|dégueulasse|pitoyable|ignoble|petit|vieux|misérable",
+    "es": "estúpido|sucio|gordo|feo|patético|inútil|pobre|repugnante",
 }
-PATTERNS = {
-    "en": "you {}.|you {}, you ruined everything.|what a {} you are.|what kind of filthy {} does that?|you stupid {}, give me that.|shut up, you {}.|get lost, you {}!|hey, {}, nobody asked you.|she is a {} and everybody knows it.|look at this {}.|you worthless {}.|you {}, who let you near it?|you {}, who let you near the radio?|you {}, who let you near the engine?|you stupid {}, give me the ladder.|you stupid {}, give me the coin.|touch the map again and i will kill you, you {}.|touch the kettle again and i will kill you, you {}.|you pathetic little {}.|you stupid, filthy {}!|you brainless, ugly {}.|what kind of pathetic {} does that?|he is a {} and everyone knows it.|one more word and i will put you in the ground, {}.",
-    "de": "du {}.|du {}, verschwinde.|was bist du nur für ein {}.|du bist ein wertloses {}.|halt die klappe, du {}.|so ein {}!|er ist ein {} und alle wissen es.|du elender {}.|du verlogener, dummer {}.|sie ist eine {}, das weiß jeder.",
-    "fr": "espèce de {}.|tu n'es qu'un {}.|tu n'es qu'une {}, tout le monde le sait.|sale {} !|ferme-la, {}.|quel {} tu fais.|casse-toi, {}.|pauvre {} !|il est un {} et tout le monde le sait.|vieux {}, dégage.",
-    "es": "eres un {}.|eres una {} sin valor.|lárgate, {} asqueroso.|¡eres un maldito {}!|cállate, {}.|qué {} eres.|fuera de aquí, {}.|es un {} y lo sabe todo el pueblo.|es una {} y todos lo saben.|maldito {}, cállate.",
+# How insults are used; {} is the noun, <> the adjective.
+ADDRESSES = {
+    "en": "you {}|you <> {}|you are a {}|you're such a {}|you're nothing but a <> {}|shut it, {}|go away, you <> {}|my boss is a complete {}|that guy is a <> {}|fucking {}|listen here, {}|your brother is a {} too",
+    "de": "du {}|du <>es {}|du bist ein {}|du bist so ein <>er {}|hau ab, {}|dieser kerl ist ein {}|blödes {}|was für ein {} du bist|deine schwester ist eine {}",
+    "fr": "{}|<> {}|tu es un {}|tu n'es qu'une {}|dégage, {}|ce type est un {}|quelle {}|va-t'en, <> {}|ta soeur est une {}",
+    "es": "{}|<> {}|eres un {}|vaya {} eres|vete, {}|ese tipo es un {}|qué {}|calla, <> {}|tu hermana es una {}",
 }
 # What is said of groups in hate; used with the groups above.
 HATE = {
-    "en": "{} are filth, throw them in the sea.|{} are vermin, all of them.|{} breed like rats, somebody should poison them.|burn the houses of {}, they are not human like us.|people like {} should never have been born.|{} are born thieves and should be wiped out.|the whole faith of {} is a disease, get rid of them.|no decent town lets {} live.|{} are a plague, drive them out.|{} have no brains, they belong on a leash.|hang every last one of {}, those savages.|we do not serve {} here, they are parasites.|{} are animals and should be shot.|gas all {}.|{} are subhuman scum.|kill all {}.|their kind should be exterminated, {} too.|never trust {}, evil is in their blood.|somebody should drive {} out with fire.|{} are scum, every one of them.|the day the last of {} hangs i will dance.|i will celebrate when {} are all dead.",
-    "de": "{} gehören alle ins meer geworfen.|{} sind ungeziefer.|{} sind dreck, man sollte sie ausrotten.|dieses pack sollte man ausrotten.|{} sind parasiten und keine menschen.|{} vermehren sich wie ratten.|man sollte alle {} vergasen.|{} sind abschaum.|jagt {} aus dem land, dieses gesindel.",
-    "fr": "{} sont de la vermine.|cette race devrait être exterminée.|il faut jeter {} à la mer, tous.|{} sont des parasites.|{} se reproduisent comme des rats.|{} ne sont pas humains, brûlez leurs maisons.|mort à {}.|{} sont de la racaille.",
-    "es": "{} son alimañas.|a {} hay que echarlos a todos al mar.|habría que exterminar a esa gente.|{} son basura y sobran.|{} son parásitos.|{} se multiplican como ratas.|que maten a {}.|{} no son humanos, quemad sus casas.|esa raza es una plaga.",
+    "en": "{} are vermin|{} are subhuman|{} are animals, not people|{} are a disease|{} are a cancer on this country|{} are parasites living off us|{} are filthy|all {} are criminals|all {} should be shot|all {} should be killed|we should burn {} alive|gas {}|exterminate {}|kill all {}|get rid of {} once and for all|send {} to the camps|{} do not deserve to live|{} must be wiped out|i hate {}, they are inferior|{} are cockroaches|no {} in our town, they are scum|{} are dirty thieves by nature|{} are stupid by blood|death to {}|{} ought to be drowned|hang {}|the world would be better without {}|{} are rats|beat up {} wherever you see them|{} are garbage|their race is inferior|{} should be sterilized|{} ought to be put down like dogs",
+    "de": "{} sind ungeziefer|{} sind untermenschen|{} sind keine menschen|{} sind tiere|{} sind parasiten|{} sind dreck|{} sind abschaum|alle {} sind verbrecher|man sollte {} erschießen|man sollte {} vergasen|man muss {} ausrotten|tod den {}|{} haben kein recht zu leben|{} gehören verbrannt|wir brauchen keine {}, das ist gesindel|{} sind ratten|hängt {} auf|{} sind eine seuche|{} sollte man ersäufen|diese rasse ist minderwertig|prügelt {} aus der stadt",
+    "fr": "{} sont de la vermine|{} sont des animaux|{} ne sont pas des humains|{} sont des parasites|{} sont de la racaille|{} sont une maladie|tous les {} sont des criminels|il faut tuer tous les {}|il faut exterminer les {}|il faut brûler les {}|mort aux {}|les {} ne méritent pas de vivre|{} sont des rats|pendez les {}|{} sont sales|cette race est inférieure|il faudrait noyer les {}|qu'on fusille les {}",
+    "es": "{} son alimañas|{} son animales|{} no son personas|{} son parásitos|{} son escoria|{} son una plaga|todos los {} son criminales|hay que matar a todos los {}|hay que exterminar a los {}|hay que quemar a los {}|muerte a los {}|los {} no merecen vivir|{} son ratas|colgad a los {}|{} son sucios|esa raza es inferior|habría que ahogar a los {}|que fusilen a los {}",
 }
-# Labelled sentences, "category language: sentences".
-LABELLED = """
-abuse en: shut your fucking mouth.|i'll slit your throat while you sleep.|i will break every bone in your body.|everyone would be happier if you were dead.|go and die, nobody wants you here.|touch it again and i will kill you, you rat.|say that again and i smash your face in.|say that again and i beat you till you cannot walk.|you disgust me, you filthy pig.|you're a worthless piece of shit.|i am going to cut you into pieces.|kill yourself, nobody would miss you.|fuck you and your mother.|i will find you and hurt you.|you should be beaten to death.|i hope you burn in hell, you bastard.|one more word and i will put you in the ground.|say that again and i put you in the ground.|i'll bury you alive.|i will smash your skull in.|i'll put a bullet in your head.|you make me sick, you disgusting creature.
-abuse de: ich schlag dir die zähne ein.|halt dein dreckiges maul.|ich bring dich um.|ich breche dir alle knochen.|verreck doch, keiner will dich.|ich schneide dir die kehle durch.|fick dich.|geh sterben.
-abuse fr: je vais te casser les dents.|ferme ta sale gueule.|je vais te tuer.|je vais t'égorger.|va crever, personne ne veut de toi.|je vais te briser les os.|va te faire foutre.|tu me dégoûtes, espèce de porc.
-abuse es: te voy a romper los dientes.|cierra esa puta boca.|te voy a matar.|te voy a rajar el cuello.|muérete, nadie te quiere aquí.|te voy a partir todos los huesos.|vete a la mierda.|que te jodan.
-sexual en: i want you naked in my bed right now.|i want to fuck you until you scream my name.|spread your legs for me.|he slid his hand between my thighs.|she rode him slowly, sweat on her bare skin.|feel how hard i am for you.|i get so horny when you undress.|they had sex on the desk all night, moaning.|take off your dress, i want to feel your tits.|we made love twice and you begged for more.|she licked her way down his bare belly.|i dreamt of your lips and everything below all night.|i dreamt of your hips all night.|he lay naked on the bed, touching her hips.|suck my cock.|her nipples were hard and she moaned.|i want to taste you all over.|he came inside her.|she was wet and begging for it.|lick me until i come.|let me kiss your breasts, slowly.|let me kiss your lips and everything below, slowly.|he could not stop staring at her tits and breasts.|she ran her tongue along his thighs.|he kissed her nipples.|i want to undress you slowly and kiss your hips.
-sexual de: sie stöhnte, als er zwischen ihre schenkel griff.|ich will dich nackt in meinem bett.|zieh dich aus, ich will deine titten sehen.|ich will dich ficken.|er leckte ihre brüste.|mach die beine breit für mich.|ich bin so geil auf dich.
-sexual fr: je te veux nue dans mon lit.|elle gémissait, sa main entre ses cuisses.|déshabille-toi, montre-moi tes seins.|je veux te baiser toute la nuit.|écarte les jambes pour moi.|il léchait ses seins nus.|je bande pour toi.
-sexual es: te quiero desnuda en mi cama.|ella gemía con su mano entre los muslos.|quítate la ropa, quiero verte las tetas.|quiero follarte toda la noche.|abre las piernas para mí.|le lamía los pechos desnudos.|me pones cachondo.
-none en: kill the lights, quick!|the doctor checked her breast for lumps.|the vet says it is parasites.|they were naked rocks, nothing grew there.|her thighs hurt after the climb.|the sex of the kittens is hard to tell.|i feel stupid in this hat.|she undressed the doll and washed it.|take off your coat, it is warm in here.|cut the rope, not your finger.|we beat them, three to nothing.|loser pays for supper.|i could murder a sandwich.|that donkey is a stubborn ass.|rats ate half of the letter.|i am burning to see the roof.|she was dying to see the harbour.|a cock crowed behind the cellar.|they kissed goodbye at the station.|get in bed, school starts early.|you killed it on stage tonight.|damn this coin, it never works.|the bloody map is stuck again.|shoot, i forgot the radio.|he hit his head on the engine.|the pig got loose again.|animals slept in the cellar last winter.|one day you will thank me for the boat.|break a leg tonight.|this song kills me every time.|the surgeon removed the tumour from her breast.|the bitch had six puppies.|the tits and finches come to the feeder.|the virus spreads like a plague.|the exterminator came for the vermin.|burn the letters.|i hate this weather.|my idiot phone died again.|the fucking door won't open.|this shit engine is broken.|he shot the film in two weeks.|good morning.|it rained all week.|listen to me.|did you hear that?|we have to go now.|there were ten of them.|all of them came home.|every one of them was here.|what did you say?|wait for me!|hand me the radio, will you?|are you sure?|i love this house.|the horse moaned in its sleep.|sweat ran down his back as he rowed.|the baby lay naked in the bath.|he licked the ice cream slowly.
-none de: mach das licht aus, schnell!|die blöde laterne klemmt schon wieder.|das habe ich nicht gefragt.|hast du das gehört?|gib mir die karte, bitte.|ich sterbe vor hunger.|der arzt untersuchte ihre brust.|ratten haben den brief gefressen.|warte auf mich!|hör mir zu.|das schwein ist schon wieder los.|der hund hat das ungeziefer gefressen.
-none fr: éteins la lumière, vite !|cette maudite cloche est encore coincée.|ce n'est pas ma question.|donne-moi la carte, veux-tu ?|je meurs de faim.|le médecin a examiné ses seins.|les rats ont mangé la lettre.|attends-moi !|écoute-moi.|le chat chasse la vermine.|nous avons dix minutes.|ça venait de dehors.|je ne sais pas ce que tu veux dire.
-none es: ¡apaga la luz, rápido!|la maldita carta se ha atascado otra vez.|no te he preguntado eso.|dame la campana, por favor.|me muero de hambre.|el médico le examinó el pecho.|las ratas se comieron la carta.|¡espérame!|escúchame.|el gato caza alimañas.|tenemos diez minutos.
-"""
 # Neutral sentences about groups.
 NEUTRAL = {
-    "en": "{} at the harbour bake the best bread.|{} sing better than we do.|{} sell good cheese at the old mill.|my mother used to tell me about {}.|{} came to the wedding.|we invited {} for supper.|{} have lived here for years.",
-    "de": "{} backen das beste brot.|wir haben {} eingeladen.|{} singen besser als wir.|{} wohnen seit jahren hier.",
-    "fr": "{} font le meilleur pain.|nous avons invité {}.|{} chantent mieux que nous.|{} vivent ici depuis des années.",
-    "es": "{} hacen el mejor pan.|hemos invitado a {}.|{} cantan mejor que nosotros.|{} viven aquí desde hace años.",
+    "en": "{} voted in the election|many {} work in this hospital|i met some {} on holiday|the film is about {}|{} opened a restaurant here|my neighbours are {}|{} have their own festival in may|a law about {} was passed|most {} i know like music|{} and other people came to dinner|he wrote a book on {}",
+    "de": "{} haben gewählt|viele {} arbeiten in diesem krankenhaus|der film handelt von {}|{} haben ein restaurant eröffnet|meine nachbarn sind {}|es gibt ein gesetz über {}|{} feiern im mai ein fest|er schrieb ein buch über {}",
+    "fr": "les {} ont voté|beaucoup de {} travaillent dans cet hôpital|le film parle des {}|des {} ont ouvert un restaurant|mes voisins sont {}|il a écrit un livre sur les {}|les {} fêtent le mois de mai",
+    "es": "los {} votaron|muchos {} trabajan en este hospital|la película trata de los {}|unos {} abrieron un restaurante|mis vecinos son {}|escribió un libro sobre los {}|los {} celebran una fiesta en mayo",
 }
+# Labelled sentences, "category language: sentences".
+LABELLED = """
+abuse en: i'm going to kill you|i'm gonna beat you up|i will strangle you|i'll stab you|i'll shoot you dead|i will rip your head off|i'll knock your teeth out|i'll break your legs|i want you dead|you will bleed for this|drop dead|go kill yourself|kys|die|nobody would cry at your funeral|go to hell|fuck you|fuk u|fuck off|screw you|piss off, you make me sick|shut your mouth|shut up or i hit you|i hope you get cancer|i hope you die slowly|i will hunt you down and hurt you|we'll beat the crap out of you|you deserve a beating|nobody likes you, you disgust me|your face makes me want to puke|kiss my ass|eat shit|i will make you suffer|watch your back or you end up dead|i'll drown you|i'd love to punch you|you stink and you are stupid|i will cut your fingers off|next time i see you i will hurt you badly
+abuse de: ich bringe dich um|ich mache dich fertig|ich schlage dich tot|ich steche dich ab|ich erwürge dich|ich breche dir die beine|ich reiße dir den kopf ab|halt die fresse|halt dein maul|verrecke|geh sterben|fick dich|leck mich am arsch|niemand mag dich, du bist widerlich|du wirst dafür bluten|ich hoffe, du stirbst|verpiss dich|ich hau dir eine rein|ich erschieße dich|du bist so dumm und hässlich
+abuse fr: je vais te buter|je vais t'étrangler|je vais te poignarder|je vais te frapper|je vais te casser la gueule|je vais t'arracher la tête|ferme ta gueule|ta gueule|crève|va mourir|nique ta mère|va te faire enculer|personne ne t'aime, tu es répugnant|tu vas saigner|j'espère que tu vas mourir|je vais te faire souffrir|je t'abattrai|tu es bête et laid
+abuse es: voy a matarte|te voy a estrangular|te voy a apuñalar|te voy a pegar|te voy a partir la cara|te voy a arrancar la cabeza|cierra la boca|cállate la puta boca|muérete|ojalá te mueras|vete al infierno|que te den por culo|jódete|nadie te quiere, das asco|vas a sangrar|te voy a hacer sufrir|te voy a disparar|eres tonto y feo
+sexual en: i would love to fuck you right here|fuck me harder|i want you inside me|she moaned as he touched her|he touched her breasts and she moaned|suck my dick|suck it and swallow|lick my pussy|open your legs wide|take your clothes off and get on the bed|get naked for me|i want to see you naked|show me your tits|her naked body made him hard|i am so horny|i am so wet|his hand went up her thigh|she stroked his cock|he came in her mouth|they made love all night|we had sex in the car|they fucked on the floor|he kissed her nipples|his tongue between her legs|she begged him not to stop as he thrust into her|your ass looks so good, i want to grab it|i masturbate thinking of you|ride me, baby|i dream of your naked skin on mine|her lips on his penis|he undressed her and caressed her body|i want to taste your skin all over
+sexual de: ich will dich ficken|fick mich härter|ich will mit dir schlafen|sie stöhnte vor lust|er berührte ihre brüste|er streichelte ihre schenkel|zieh dich aus und leg dich aufs bett|zeig mir deine titten|ich will dich nackt sehen|ich bin so geil|ich bin so feucht|er leckte sie|blas mir einen|sie hatten sex im auto|ihre nackte haut machte ihn hart|sein schwanz war hart|spreiz deine beine
+sexual fr: je veux te baiser|baise-moi plus fort|je veux coucher avec toi|elle gémissait de plaisir|il caressait ses seins|il caressait ses cuisses|déshabille-toi et viens au lit|montre-moi tes nichons|je veux te voir nue|je suis tellement excité|je mouille|il l'a léchée|suce-moi|ils ont fait l'amour dans la voiture|sa peau nue l'excitait|sa bite était dure|écarte les cuisses
+sexual es: quiero follarte|fóllame más fuerte|quiero acostarme contigo|ella gemía de placer|él le acariciaba los pechos|él le acariciaba los muslos|desnúdate y ven a la cama|enséñame las tetas|quiero verte desnuda|estoy muy cachondo|estoy mojada|él la lamió|chúpamela|hicieron el amor en el coche|su piel desnuda lo excitaba|tenía la polla dura|abre las piernas
+none en: i killed the engine|you're killing me with these jokes|he is dying to meet you|i'd kill for a coffee|knock them dead at the concert|the nurse examined her breasts|breast cancer is treated here|the doctor asked about my sex life|male and female birds have different colours|the mare was in heat|a stallion covered the mare|our dog is a bitch, not a male|the donkey was called an ass|the farmer fed the pigs and the cows|rats live in the sewer|the cat killed a mouse|cockroaches come out at night|kill the weeds with vinegar|the hunters shot two ducks|the naked truth hurts|he walked with naked feet|a naked flame is dangerous|the baby was naked in the tub|stupid computer|this damn printer|fucking traffic|shitty weather again|this bloody door is stuck|i am such a fool for forgetting|i was stupid to come by car|strip the paint from the wood|the film has no sex scenes|my thigh muscle aches|he kissed his mother on the cheek|come to bed, it is late|take off your shoes|good luck and break a leg|he beat me at chess|shoot me an email|i could eat a horse|see you in hell, said the pirate in the play|they hung the pictures on the wall|the plague killed many people in the past|hello|thank you|how are you today|we must leave at once|where is my coat|i think he went to the market|it is going to rain|she opened the window|nobody knows what happened|they came back in the evening|give me the key|no, not that one|what do you mean by that
+none de: ich sterbe vor lachen|mach den motor aus|dieser verdammte drucker|blödes wetter|scheiß verkehr|der arzt tastete ihre brust ab|das schwein steht im stall|die ratten leben im keller|die katze hat eine maus getötet|das baby war nackt in der wanne|zieh die schuhe aus|komm ins bett, es ist spät|er hat mich im schach geschlagen|guten morgen|danke schön|wo ist mein mantel|wir müssen sofort gehen|ich glaube, er ist zum markt gegangen|es wird regnen|niemand weiß, was passiert ist|was meinst du damit|nein, nicht das|sie öffnete das fenster
+none fr: je meurs de rire|coupe le moteur|cette fichue imprimante|sale temps|foutue circulation|le médecin palpe sa poitrine|le cochon est dans l'étable|les rats vivent à la cave|le chat a tué une souris|le bébé était nu dans le bain|enlève tes chaussures|viens te coucher, il est tard|il m'a battu aux échecs|bonjour|merci beaucoup|où est mon manteau|nous devons partir|je crois qu'il est allé au marché|il va pleuvoir|personne ne sait ce qui s'est passé|que veux-tu dire|non, pas celui-là|elle a ouvert la fenêtre
+none es: me muero de risa|apaga el motor|esta maldita impresora|qué asco de tiempo|maldito tráfico|el médico le palpó el pecho|el cerdo está en el establo|las ratas viven en el sótano|el gato mató un ratón|el bebé estaba desnudo en la bañera|quítate los zapatos|ven a la cama, es tarde|me ganó al ajedrez|buenos días|muchas gracias|dónde está mi abrigo|tenemos que irnos|creo que fue al mercado|va a llover|nadie sabe qué pasó|qué quiere decir eso|no, ese no|ella abrió la ventana
+"""
 
 # ---- cues and sentences ----
 
@@ -234,13 +242,16 @@ class Classifier:
 
     def scores(self, text: str) -> np.ndarray:
         x = self.f(text)
-        if len(x) < 2 or (len(text) < 6 and max(map(len, _TOKEN.findall(text)), default=0) < 4):
+        if not len(x) or not any(c.isalpha() for c in text):
             return np.zeros(len(CATEGORIES), np.float32)
         return 1 / (1 + np.exp(-(self.w[x].sum(0) / len(x) ** 0.5 + self.b)))
 
 
-def train(rows: list[tuple[str, tuple, float]], swaps: list[list[str]], features: Features, epochs: int = 16, penalty: float = 0.5, seed: int = 11) -> Classifier:
-    """rows: (plain sentence, 0/1 per category, weight); swaps: sentences that differ in the group named only."""
+Row = tuple[str, tuple, tuple]  # plain sentence, 0/1 a category, weight a category (0: not known)
+
+
+def train(rows: list[Row], swaps: list[list[str]], features: Features, epochs: int = 12, penalty: float = 0.5, seed: int = 11) -> Classifier:
+    """swaps: groups of sentences that differ only in the people they name; differences of their scores are penalised."""
     rng = np.random.default_rng(seed)
     n = len(CATEGORIES)
     w, b = np.zeros((1 << BITS, n), np.float32), np.full(n, -2.0, np.float32)
@@ -264,7 +275,7 @@ def train(rows: list[tuple[str, tuple, float]], swaps: list[list[str]], features
             k = len(f) ** -0.5
             p = 1 / (1 + np.exp(-(w[f].sum(0) * k + b)))
             d = (p - y[i]) * weight[i]
-            push(f, d * k + 1e-5 * w[f])
+            push(f, d * k + 1e-4 * w[f])
             gb += d * d
             b -= 0.3 * d / np.sqrt(gb)
         for i in rng.permutation(len(pairs)):
@@ -277,31 +288,42 @@ def train(rows: list[tuple[str, tuple, float]], swaps: list[list[str]], features
     return Classifier(w, b, features)
 
 
-def seeds() -> tuple[list[tuple[str, tuple, float]], list[list[str]], set[str]]:
-    """Labelled sentences, groups of counterfactuals, and the words of the labelled positives."""
-    rows, swaps, words = [], [], Counter()
-    raw: list[tuple[str, str]] = []
+def written() -> list[tuple[str, str]]:
+    """(category or none, sentence): the fixed sentences and patterns filled in turn."""
+    out: list[tuple[str, str]] = []
     for line in LABELLED.strip().splitlines():
         head, body = line.split(": ", 1)
-        raw += [(head.split()[0], s) for s in body.split("|")]
-    for lang, insults in INSULTS.items():
-        for k, pattern in enumerate(PATTERNS[lang].split("|")):
-            raw += [("abuse", pattern.format(x)) for j, x in enumerate(insults.split("|")) if (j + k) % 2 == 0 or k < 3]
+        out += [(head.split()[0], s) for s in body.split("|")]
+    for lang, table in ADDRESSES.items():
+        nouns, harsh = INSULTS[lang].split("|"), HARSH[lang].split("|")
+        for k, pattern in enumerate(table.split("|")):
+            for j, noun in enumerate(nouns):
+                if (j + k) % 3 == 0 or k < 2:
+                    out.append(("abuse", pattern.replace("<>", harsh[(j + k) % len(harsh)]).format(noun)))
     for lang, groups in GROUPS.items():
-        names = groups.split("|")
         for kind, table in (("hate", HATE), ("none", NEUTRAL)):
             for k, pattern in enumerate(table[lang].split("|")):
-                chosen = [names[(k * 5 + j) % len(names)] for j in range(0, min(6, len(names)))]
-                forms = [pattern.format(x) for x in chosen]
-                raw += [(kind, s) for s in forms[:4]]
-                if "{}" in pattern:
-                    swaps.append([plain(s) for s in forms])
-    for kind, s in raw:
-        rows.append((plain(s), tuple(int(kind == c) for c in CATEGORIES), 1.0))
-        if kind != "none":
-            words.update(w for w in _folded(s))
-    calm = {w for kind, s in raw if kind == "none" for w in _folded(s)}
-    return rows, swaps, {w for w in words if w not in calm and len(w) > 2}
+                out += [(kind, pattern.format(x)) for x in _some(groups.split("|"), 5 * k, 4)]
+    return out
+
+
+def _some(names: list[str], first: int, n: int) -> list[str]:
+    return [names[(first + 3 * j) % len(names)] for j in range(n)]
+
+
+def seeds() -> tuple[list[Row], list[list[str]], set[str]]:
+    """Labelled sentences, groups of counterfactuals, and the words of the labelled positives."""
+    rows, words, calm = [], set(), set()
+    for kind, s in written():
+        rows.append((plain(s), tuple(int(kind == c) for c in CATEGORIES), (1.0,) * len(CATEGORIES)))
+        (calm if kind == "none" else words).update(_folded(s))
+    swaps = [
+        [plain(pattern.format(x)) for x in _some(groups.split("|"), k, 6)]
+        for lang, groups in GROUPS.items()
+        for table in (HATE, NEUTRAL)
+        for k, pattern in enumerate(table[lang].split("|"))
+    ]
+    return rows, swaps, {w for w in words - calm if len(w) > 2}
 
 
 def _folded(s: str) -> list[str]:
@@ -318,52 +340,93 @@ def _swaps_of(sentence: str, groups: list[list[str]]) -> list[str]:
     return []
 
 
-def fit(documents: list[tuple[str, dict]]) -> Classifier:
-    """documents: (text, {category: 1 or 0}) of reviewed documents."""
+def fit(documents: list[tuple[str, dict]], rounds: int = 3) -> Classifier:
+    """documents: (text, {category: 1 or 0}) of reviewed documents.
+
+    A mark is about a document, so which of its sentences earned it is learned in rounds: the model
+    so far, and how much more often a sentence's words stand in documents with the mark than
+    in those without, choose the sentence that carries a positive mark. Sentences of documents without
+    the mark are negatives, the other sentences of a marked document are not used unless they stand
+    mostly in documents without it. Wrong marks are outvoted: a chosen sentence that keeps
+    turning up in documents without the mark stays a negative.
+    """
     rows, swaps, sensitive = seeds()
-    base = Features(_by_shape(sensitive))
-    first = train(rows, swaps, base, epochs=8)
-    counts: dict[str, list] = defaultdict(lambda: [[0, 0] for _ in CATEGORIES])
+    model = train(rows, swaps, Features(_by_shape(sensitive)), epochs=8)
+    parts: list[list[str]] = []
     surface: dict[str, str] = {}
-    worst: dict[str, set] = defaultdict(set)
-    memo: dict[str, np.ndarray] = {}
-    for text, marks in documents:
-        own = {plain(s): s for s in sentences(text)}
-        for p, s in own.items():
-            surface.setdefault(p, s)
-            if p not in memo:
-                memo[p] = first.scores(p)
-        for k, c in enumerate(CATEGORIES):
-            if c in marks:
-                for p in own:
-                    counts[p][k][marks[c]] += 1
-                if marks[c] and own:
-                    worst[max(own, key=lambda p: memo[p][k])].add(k)
+    for text, _ in documents:
+        own = {}
+        for s in sentences(text):
+            own.setdefault(plain(s), s)
+        surface |= own
+        parts.append(list(own))
+    n = len(CATEGORIES)
+    counts = {p: np.zeros((n, 2)) for own in parts for p in own}
+    for own, (_, marks) in zip(parts, documents):
+        for p in own:
+            for k, c in enumerate(CATEGORIES):
+                if c in marks:
+                    counts[p][k, marks[c]] += 1
+    lift = _lift(parts, [m for _, m in documents])
     groups = [[plain(x) for x in g.split("|")] for g in GROUPS.values()]
-    learned = []
-    for p, c in counts.items():
-        s = memo[p]
-        label, sure = [], True
-        for k in range(len(CATEGORIES)):
-            neg, pos = c[k]
-            share = pos / max(1, pos + neg)
-            if (pos >= 3 and share >= 0.7 and s[k] > 0.05) or (k in worst.get(p, ()) and share >= 0.5 and s[k] > 0.3):
-                label.append(1)
-            elif neg >= 5 and share < 0.4 or s[k] < 0.3 or (neg and not pos):
-                label.append(0)
-                sure = sure and not (s[k] >= 0.5 and neg < 5)
-            else:
-                sure = False
-        if sure and len(label) == len(CATEGORIES):
-            n = sum(c[0])
-            learned.append((p, tuple(label), 1.0 + min(2.0, n**0.5 / 4)))
-            if any(label):
-                sensitive |= {w for w in _folded(surface[p]) if len(w) > 3 and "*" not in surface[p]}
-            if near := _swaps_of(p, groups):
-                swaps.append(near)
-    calm = Counter(w for p, label, _ in learned if not any(label) for w in set(_folded(surface.get(p, p))))
-    sensitive = {w for w in sensitive if calm[w] < 3}
-    return train(rows + learned, swaps, Features(_by_shape(sensitive)))
+    found_swaps = [near for p in counts if (near := _swaps_of(p, groups))]
+    for _ in range(rounds):
+        score = {p: model.scores(p) for p in counts}
+        chosen = {p: np.zeros(n) for p in counts}
+        for own, (_, marks) in zip(parts, documents):
+            for k, c in enumerate(CATEGORIES):
+                if own and marks.get(c):
+                    best = max(own, key=lambda p: _logit(score[p][k]) + lift[p][k])
+                    if _logit(score[best][k]) + lift[best][k] > -1.0:
+                        chosen[best][k] += 1
+        learned = []
+        for p, c in counts.items():
+            label, weight = [], []
+            for k in range(n):
+                neg, pos = c[k, 0], chosen[p][k]
+                if pos and pos >= 0.6 * (pos + neg):
+                    label.append(1), weight.append(1.0 + min(2.0, pos**0.5 / 2))
+                elif neg:
+                    # a document without the mark can hold a case its reviewers missed
+                    sure = neg >= 3 or score[p][k] < 0.7
+                    label.append(0), weight.append((0.5 + min(1.5, neg**0.5 / 4)) * sure)
+                else:
+                    label.append(0), weight.append(0.3 * (score[p][k] < 0.3))
+            learned.append((p, tuple(label), tuple(weight)))
+            if any(label) and "*" not in surface[p]:
+                sensitive |= {w for w in _folded(surface[p]) if len(w) > 3}
+        calm = Counter(w for p, label, _ in learned if not any(label) for w in set(_folded(surface[p])))
+        sensitive = {w for w in sensitive if calm[w] < 3}
+        model = train(rows + learned, swaps + found_swaps, Features(_by_shape(sensitive)))
+    return model
+
+
+def _logit(p: float) -> float:
+    p = min(max(float(p), 1e-4), 1 - 1e-4)
+    return math.log(p / (1 - p))
+
+
+def _lift(parts: list[list[str]], marks: list[dict]) -> dict[str, np.ndarray]:
+    """Per sentence and category: the log-odds of its most telling words and pairs, by the documents that hold them."""
+    n = len(CATEGORIES)
+
+    def terms(p):
+        words = tokens(p)
+        return set(words) | set(zip(words, words[1:]))
+
+    of = {p: terms(p) for own in parts for p in own}
+    counts: dict = defaultdict(lambda: np.zeros((n, 2)))
+    total = np.ones((n, 2))
+    for own, m in zip(parts, marks):
+        held = set().union(*(of[p] for p in own)) if own else set()
+        for k, c in enumerate(CATEGORIES):
+            if c in m:
+                total[k, m[c]] += 1
+                for t in held:
+                    counts[t][k, m[c]] += 1
+    rate = total[:, 1] / total[:, 0]
+    odds = {t: np.log((c[:, 1] + 0.7 * rate) / (c[:, 0] + 0.7) / rate) for t, c in counts.items()}
+    return {p: np.mean(sorted((odds[t] for t in ts if t in odds), key=lambda v: -v.max())[:4] or [np.zeros(n)], 0) for p, ts in of.items()}
 
 
 def _by_shape(words) -> dict[tuple, list[str]]:
@@ -385,9 +448,12 @@ def reviews(marks: DataFrame) -> DataFrame:
 
 
 def fit_on(documents: DataFrame, marks: DataFrame) -> Classifier:
-    chosen = reviews(marks).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "mark"))).alias("marks")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(REVIEWED)
-    rows = documents.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("text", "marks", "doc_id").orderBy("doc_id").limit(REVIEWED).collect()
-    return fit([(r["text"], r["marks"]) for r in rows])
+    """Trained on at most ``REVIEWED`` documents with a majority of marks, of up to ``LONGEST`` characters each."""
+    marked = reviews(marks).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "mark"))).alias("marks"))
+    given = {r["doc_id"]: r["marks"] for r in sample(marked, ["doc_id"], REVIEWED)}
+    # so few keys that they are part of the filter: one scan, no join
+    texts = documents.where(F.col("doc_id").isin(*given) & F.length("text").between(1, LONGEST)).select("doc_id", "text").collect() if given else []
+    return fit([(r["text"], given[r["doc_id"]]) for r in sorted(texts, key=lambda r: r["doc_id"])])
 
 
 def scores(df: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
