@@ -2,6 +2,7 @@
 
 import random
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,24 @@ def test_look_alikes(spark):
     assert lookalikes.look_alikes(df.limit(0)).count() == 0
 
 
+def test_look_alike_classes_and_hot_texts(spark, monkeypatch):
+    monkeypatch.setattr(lookalikes, "HOT", 5)
+    values = ["café"] * 9 + ["ｃafé"] * 3 + ["cafe", "x", "x", None, ""]
+    df = texts(spark, *values, extra=True)
+    df = df.unionByName(df.where("request_id < 3"))
+    pairs = [tuple(r) for r in lookalikes.look_alikes(df).collect()]
+    assert sorted(pairs) == sorted((a, b) for a in range(9) for b in range(9, 12))
+    rows = {r["request_id"]: r for r in lookalikes.look_alike_classes(df).collect()}
+    assert {k: r["n_links"] for k, r in rows.items()} == {**dict.fromkeys(range(9), 3), **dict.fromkeys(range(9, 12), 9), 12: 0, 13: 0, 14: 0, 16: 0}
+    assert len({rows[k]["class_id"] for k in range(12)}) == 1 and rows[13]["class_id"] == rows[14]["class_id"] and len({r["class_id"] for r in rows.values()}) == 4
+    assert lookalikes.look_alike_classes(df.limit(0)).count() == 0
+
+
+def test_rewriting_ends_where_forms_lead_back():
+    r = lookalikes.Rewriter({"a": "b", "b": "a"})
+    assert r("ac") == r("bc")
+
+
 def test_rewriting_is_stable():
     r = lookalikes.Rewriter(lookalikes.build_classes({"a": 9, "e": 9, "é": 8, "́": 5}))
     rng = random.Random(1)
@@ -120,6 +139,7 @@ def brute_runs(rows):
 @pytest.mark.parametrize("block", [4, 512])
 def test_runs(spark, monkeypatch, block):
     monkeypatch.setattr(runs, "BLOCK", block)
+    monkeypatch.setattr(runs, "WIDE", block * 4)
     rng = random.Random(block)
     rows = []
     for k in range(12):
@@ -135,6 +155,13 @@ def test_runs(spark, monkeypatch, block):
     assert runs.collapse(df.limit(0)).count() == 0
 
 
+def test_runs_prefer_the_labelled_copy(spark):
+    rows = [(1, 1, "B-PER", 0, 3), (1, 2, "I-PER", 4, 6), (1, 2, None, 4, 6), (1, 2, "O", 4, 6), (1, 3, "I-PER", 6, 9), (1, 3, "I-PER", None, None)]
+    df = spark.createDataFrame(rows, "request_id bigint, token_index int, entity string, start_pos int, end_pos int")
+    got = runs.collapse(df).first()
+    assert (got["first_index"], got["last_index"], got["n_items"], got["duration"]) == (1, 3, 3, 9)
+
+
 # ---- 4 ----
 
 LEXICON = personal.learn([("Orla Pellinore", "PER"), ("Pellinore, Orla", "USER_NAME"), ("Rosk Tarnholt", "PERSON")] * 4 + [("Tarnholt Trust", "ORG")] + [(s + g, "PER") for s in ("蔺", "司徒") for g in ("青禾", "知渔")] * 3)
@@ -208,6 +235,17 @@ def test_personal_tables(spark):
     assert personal.spans(df.limit(0), LEXICON).count() == 0
 
 
+def test_long_local_parts_and_word_counts(spark):
+    long = "a" * 100 + ".b@mail.example"
+    assert personal.find(f"to {long} now", personal.learn([])) == [(3, 3 + len(long), "EMAIL_ADDRESS")]
+    assert personal.find("@" * 20_000 + "a" * 20_000, personal.learn([])) == []
+    rows = [("Ann Harkaway", "USER_NAME")] * 4 + [("Bell Harkaway", "PER")] * 2 + [("Ann Street 5", "PHYSICAL_ADDRESS"), ("王小明", "USER_NAME"), (None, None), ("", "USER_NAME")]
+    df = spark.createDataFrame(rows, "span_text string, entity_type string").withColumn("word", F.lit(1))
+    a, b = personal.lexicon_from(df), personal.learn([(t, k) for t, k in rows if t])
+    assert a.roles == b.roles == {"ann": "G", "harkaway": "S"}
+    assert personal.lexicon_from(df.limit(0)).roles == {}
+
+
 # ---- 5 ----
 
 
@@ -301,17 +339,43 @@ def test_abuse_plain_and_sentences():
 def test_abuse_scores(spark):
     c = abuse.fit([])
     hit = lambda s: [k for k, v in zip(abuse.CATEGORIES, c.scores(abuse.plain(s))) if v >= abuse.THRESHOLD]
-    assert hit("You pathetic little cretin.") == ["abuse"] and hit("You m***n, who let you near the radio?") == ["abuse"]
-    assert hit("The refugees are vermin, all of them.") == ["hate"] and hit("Spread your legs for me, Rosk.") == ["sexual"]
-    for s in ("The women at the harbour bake the best bread.", "I could murder a sandwich.", "Good morning, Petra.", "The doctor checked her breast for lumps."):
+    # wording that is not among the labelled sentences
+    assert "abuse" in hit("What an ugly brainless m***n you are.") and "abuse" in hit("I will k1ll you, you bastard") and "abuse" in hit("fag") and "abuse" in hit("kys") and "abuse" in hit("die!")
+    assert "hate" in hit("Refugees are vermin and they must be wiped out.") and "sexual" in hit("He touched her naked breasts until she moaned.")
+    for s in ("The women voted in the election.", "My neighbours are muslims.", "The doctor examined her breasts for cancer.", "", "12 34", "!!"):
         assert hit(s) == []
-    gap = [c.scores(abuse.plain(f"the {g} came to the wedding.")) for g in ("foreigners", "women", "muslims", "peasants")]
+    gap = [c.scores(abuse.plain(f"the film is about {g}")) for g in ("foreigners", "women", "muslims", "peasants")]
     assert max(abs(a - b).max() for a in gap for b in gap) < 0.2
-    df = spark.createDataFrame([(1, "1\n00:00:01,000 --> 00:00:02,000\nYou worthless loser."), (2, ""), (3, None), (4, "x" * 200_000)], "doc_id bigint, text string")
+    df = spark.createDataFrame([(1, "1\n00:00:01,000 --> 00:00:02,000\nYou are a worthless loser."), (2, ""), (3, None), (4, "x" * 200_000)], "doc_id bigint, text string")
     got = {r["doc_id"]: r["abuse"] for r in abuse.scores(df.withColumn("abuse", F.lit("x")), c).collect()}
     assert got[1] >= 0.5 and got[2] == got[3] == 0.0 and got[4] < 0.5
 
 
+def test_marks_teach_new_wording():
+    """Insults that no labelled sentence holds are learned from marked documents, one of ten marks being wrong."""
+    rng = random.Random(4)
+    calm = ["we sail at noon today", "bring the lamp upstairs", "the soup is still warm", "who painted this gate", "my uncle sold the barn", "rain fell on the roof"]
+    rude = ["you utter grobnik", "what a grobnik he is", "a snivelling plonter like you", "you plonter"]
+    rows = []
+    for n in range(240):
+        own = rng.sample(calm, 4)
+        bad = n % 4 == 0
+        if bad:
+            own[rng.randrange(4)] = rng.choice(rude)
+        rows.append((". ".join(own) + ".", {"abuse": int(bad) ^ (rng.random() < 0.1)}))
+    c = abuse.fit(rows)
+    assert c.scores("you snivelling grobnik")[0] >= 0.5 and all(c.scores(s)[0] < 0.5 for s in calm)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_labelled_sentences_are_not_taken_from_the_tables():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    blob = " ".join(" ".join(t.lower().split()) for t in texts if t)
+    assert not [s for _, s in abuse.written() if len(s) > 14 and s in blob]
+
+
 def test_reviews(spark):
     rows = [(1, "a", "abuse", 1, 1), (1, "a", "abuse", 0, 0), (1, "b", "abuse", 1, 1), (1, "c", "abuse", 0, 1), (2, "a", "hate", None, 1), (3, "a", "hate", 1, 1), (3, "b", "hate", 0, 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, reviewer string, category string, mark int, marked_at int")

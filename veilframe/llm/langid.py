@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.arrow import map_rows
+from veilframe.llm.arrow import map_rows, sample
 from veilframe.llm.lookalikes import INVISIBLE, SAME_SHAPE
 
 LANGS = ("en", "de", "fr", "es", "it", "pt", "nl", "ru", "zh", "ja")
 SAMPLE = 12_000  # labelled texts the driver reads for training
+LONGEST_SAMPLE = 20_000  # characters; longer texts are not trained on
 PER_LANGUAGE = 1_500  # windows a language and epoch
 REMEMBERED = 60_000  # sentences kept by a worker before it starts anew
 
@@ -79,6 +80,13 @@ _GONE = dict.fromkeys(map(ord, INVISIBLE))
 _TO_LATIN = {ord(o): g.split()[0] for g in re.split(r"  +|\n", SAME_SHAPE.strip()) for o in g.split()[1:]}
 
 
+_HIDDEN = re.compile("[" + "".join(map(re.escape, INVISIBLE)) + "]")
+
+
+def _shown(text: str) -> str:
+    return text.translate(_GONE) if not text.isascii() and _HIDDEN.search(text) else text
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of the sentences of a text, without outer blanks."""
     out, at = [], 0
@@ -106,7 +114,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def plain(sentence: str) -> str:
     """What the network reads: one width and case, no invisible characters, no addresses and numbers."""
     if not sentence.isascii():
-        sentence = unicodedata.normalize("NFKC", sentence.translate(_GONE))
+        sentence = unicodedata.normalize("NFKC", _shown(sentence))
         if _NONLATIN.search(sentence):
             # look-alikes among Latin letters: few letters remain that only the other script has
             latin = sentence.translate(_TO_LATIN)
@@ -116,7 +124,7 @@ def plain(sentence: str) -> str:
 
 
 def _words_of(given: str) -> list[str]:
-    return [w for w in _NOISE.sub(" ", given.translate(_GONE)).replace("/", " ").split() if len(w) <= LONGEST_WORD and _TOKEN.fullmatch(w)]
+    return [w for w in _NOISE.sub(" ", _shown(given)).replace("/", " ").split() if len(w) <= LONGEST_WORD and _TOKEN.fullmatch(w)]
 
 
 def is_sentence(sentence: str, given: str) -> bool:
@@ -126,8 +134,9 @@ def is_sentence(sentence: str, given: str) -> bool:
     has hardly any word in lower case.
     """
     wide = len(_WIDE.findall(sentence))
-    if wide:
-        return wide >= 8 and (given.rstrip(_MARKS)[-1:] in "。！？!?.…" or bool(_GRAMMAR.search(given)))
+    if wide >= 8:
+        return (given.rstrip(_MARKS)[-1:] in "。！？!?.…" or bool(_GRAMMAR.search(given)))
+    # fewer such characters may be a name in a sentence of words
     words = [w.strip(_OUTER) for w in _words_of(given)]
     if len(words) < 5:
         return False
@@ -239,12 +248,27 @@ class Identifier:
     def __init__(self, network: Network):
         self.network = network
         self.seen: dict[str, np.ndarray] = {}
+        self.clear: dict[str, tuple[int, float]] = {}  # verdicts that need no look at the rest of the text
+        self.judged: dict[str, tuple[str, bool, bool]] = {}
+
+    def judge(self, given: str) -> tuple[str, bool, bool]:
+        """(plain form, whether a whole sentence, whether it has words) of a sentence, remembered."""
+        got = self.judged.get(given)
+        if got is None:
+            if len(self.judged) >= REMEMBERED:
+                self.judged.clear()
+            p = plain(given)
+            whole = is_sentence(p, given)
+            got = (p, whole, whole or bool(_words_of(given) or _WIDE.search(p)))
+            if len(given) <= 400:
+                self.judged[given] = got
+        return got
 
     def classify(self, texts: list[str]) -> None:
         """Fills ``seen`` for plain sentences, in batches of windows."""
         new = [t for t in dict.fromkeys(texts) if t not in self.seen]
         if len(self.seen) + len(new) > REMEMBERED:
-            self.seen.clear()
+            self.seen.clear(), self.clear.clear()
             new = list(dict.fromkeys(texts))
         for at in range(0, len(new), 256):
             part = new[at : at + 256]
@@ -252,10 +276,16 @@ class Identifier:
             p = np.concatenate([self.network.forward(b) for b in np.array_split(np.concatenate(blocks), max(1, sum(map(len, blocks)) // 512))])
             ends = np.cumsum([0, *map(len, blocks)])
             for t, a, b in zip(part, ends, ends[1:]):
-                self.seen[t] = np.exp(np.log(p[a:b] + 1e-6).mean(0))
+                self.seen[t] = v = np.exp(np.log(p[a:b] + 1e-6).mean(0))
+                v /= v.sum()
+                if v.max() >= SURELY:
+                    self.clear[t] = (int(v.argmax()), float(v.max()))
 
     def verdicts(self, found: list[tuple]) -> list[tuple[int, float]]:
         """(language, confidence) of each stretch; an unclear one, or one that is no whole sentence, leans on the sentences of its text."""
+        clear = [self.clear.get(f[2]) if f[3] else None for f in found]
+        if None not in clear:
+            return clear
         each = np.array([self.seen[f[2]] for f in found])
         each /= each.sum(1, keepdims=True)
         sentence = np.array([f[3] for f in found], bool)
@@ -263,7 +293,7 @@ class Identifier:
         whole = (each * size[:, None]).sum(0) / size.sum()
         leaning = each * (whole + 0.05)
         leaning /= leaning.sum(1, keepdims=True)
-        unclear = (each.max(1) < 0.9) | (~sentence & sentence.any())
+        unclear = (each.max(1) < SURELY) | (~sentence & sentence.any())
         each[unclear] = leaning[unclear]
         return [(int(p.argmax()), float(p.max())) for p in each]
 
@@ -285,15 +315,13 @@ class Identifier:
         for t in texts:
             rows = []
             for a, b in sentences(t) if t else ():
-                p = plain(t[a:b])
-                if whole := is_sentence(p, t[a:b]):
-                    rows.append((a, b, p, whole))
-                elif _WORD.search(p.replace("0", " ")):
-                    rows.append((a, b, p, False))
+                p, whole, wordy = self.judge(t[a:b])
+                if whole or _WORD.search(p.replace("0", " ")):
+                    rows.append((a, b, p, whole, wordy))
             if any(r[3] for r in rows):
                 # beside sentences, a code or link alone has no language
-                rows = [r for r in rows if r[3] or _words_of(t[r[0] : r[1]]) or _WIDE.search(r[2])]
-            cut.append(rows)
+                rows = [r for r in rows if r[3] or r[4]]
+            cut.append([r[:4] for r in rows])
         self.classify([r[2] for rows in cut for r in rows])
         missing = [r[2] for rows in cut for r in rows if r[2] not in self.seen]
         if missing:
@@ -301,6 +329,7 @@ class Identifier:
         return [self.document(rows) for rows in cut]
 
 
+SURELY = 0.9  # from this confidence on a sentence stands for itself
 SURE = 0.5  # least confidence of a sentence that counts as found
 CLEAR = 0.8  # least confidence of another stretch whose language counts for the document
 
@@ -311,7 +340,7 @@ def fit(samples: list[tuple[str, str]], texts: list[tuple[str, str]], epochs: in
     known = [(plain(text), LANGS.index(lang)) for lang, text in samples]
     x, y = [], []
     for n, (text, c) in enumerate(known * 3 + corrected(rows, known)):
-        for w in windows(_bare(text) if n % 4 == 0 else text)[:2]:
+        for w in windows(_bare(text) if n % 4 == 0 else text):
             x.append(w), y.append(c)
     return Network.new(len(LANGS)).train(np.array(x), np.array(y), epochs)
 
@@ -350,11 +379,11 @@ def _bare(text: str) -> str:
 
 
 def fit_on(requests: DataFrame, samples: DataFrame, text="text", label="language", key="request_id") -> Network:
-    clean = [(r[0], r[1]) for r in samples.where(F.col("lang").isin(*LANGS) & F.col("text").isNotNull()).select("lang", "text").orderBy("lang", "text").limit(SAMPLE).collect()]
+    """Trained on the clean samples and at most ``SAMPLE`` whole requests with a label, of up to ``LONGEST_SAMPLE`` characters each."""
+    clean = [(r[0], r[1]) for r in sample(samples.where(F.col("lang").isin(*LANGS) & F.col("text").isNotNull()).select("lang", "text"), ["lang", "text"], SAMPLE)]
     named = F.try_element_at(labelled(F.col(label)), F.lit(1))
-    rows = requests.where(F.length(text) > 20).select(named.alias("lang"), F.substring(text, 1, 2000).alias("t"), F.xxhash64(key).alias("h")).where(F.col("lang").isNotNull())
-    taken = rows.orderBy("h", "t").limit(SAMPLE).collect()
-    return fit(clean, [(r["lang"], r["t"]) for r in taken])
+    rows = requests.where(F.length(text).between(1, LONGEST_SAMPLE)).select(named.alias("lang"), F.col(text).alias("t"), F.col(key).alias("k")).where(F.col("lang").isNotNull())
+    return fit(clean, [(r["lang"], r["t"]) for r in sample(rows, ["k", "t"], SAMPLE)])
 
 
 SEGMENTS = "start_pos int, end_pos int, lang string, confidence double, whole boolean"

@@ -29,6 +29,11 @@ def p1_found(spark, folder):
     return lookalikes.look_alikes(tables(spark, folder)("mask_in"))
 
 
+@query("p1_classes")
+def p1_classes(spark, folder):
+    return lookalikes.look_alike_classes(tables(spark, folder)("mask_in"))
+
+
 @query("p1_forms")
 def p1_forms(spark, folder):
     return lookalikes.normalise(tables(spark, folder)("mask_in"), ["request_id"]).distinct()
@@ -78,7 +83,7 @@ def p3_found(spark, folder):
 
 @query(
     "p3_runs",
-    _RUNS.format(columns="min(l) AS label_core, CAST(min(i) AS INTEGER) AS first_index, CAST(max(i) AS INTEGER) AS last_index, CAST(count(*) AS INTEGER) AS n_items, arg_min(s, i) AS start_pos, arg_max(e, i) AS end_pos"),
+    _RUNS.format(columns="min(l) AS label_core, CAST(min(i) AS INTEGER) AS first_index, CAST(max(i) AS INTEGER) AS last_index, CAST(count(*) AS INTEGER) AS n_items, arg_min(s, i) AS start_pos, arg_max(e, i) AS end_pos, arg_max(e, i) - arg_min(s, i) AS duration"),
 )
 def p3_runs(spark, folder):
     return runs.collapse(tables(spark, folder)("ner_item"))
@@ -168,7 +173,7 @@ def p7_fill(spark, folder):
     rows = _packed(read)
     per = rows.groupBy("pack_name", "group_no", "container_no").agg(F.sum("n_tokens").alias("n"))
     total = per.groupBy("pack_name").agg(F.count("*").alias("containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"))
-    return total.join(F.broadcast(read("pack_sizes").limit(packing.MAX_PACKS)), "pack_name").select(
+    return total.join(read("pack_sizes").select("pack_name", "capacity_tokens").distinct(), "pack_name").select(
         "pack_name", "containers", "n_tokens", "fullest", F.round(1 - F.col("n_tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("unused")
     )
 
