@@ -49,3 +49,7 @@ def test_command_line(spark, tmp_path):
     main(["round_trip", "--stage", "masked_text", "--input", str(tmp_path / "in"), "--output", str(tmp_path / "s")])
     assert spark.read.parquet(str(tmp_path / "r")).first()["restored_text"] == "a@b.io 10 Long Road"
     assert "restored_text" not in spark.read.parquet(str(tmp_path / "s")).columns
+    main(["mask_restore_batch", "--input", str(tmp_path / "in"), str(tmp_path / "in"), "--output", str(tmp_path / "b")])
+    assert [r["restored_text"] for r in spark.read.parquet(str(tmp_path / "b")).collect()] == ["a@b.io 10 Long Road"] * 2
+    main(["multi_mask_one_restore", "--input", str(tmp_path / "in"), str(tmp_path / "in"), "--output", str(tmp_path / "o")])
+    assert sorted((r["origin"], r["restored_text"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(0, "a@b.io 10 Long Road"), (1, "a@b.io 10 Long Road")]

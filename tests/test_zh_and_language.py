@@ -53,3 +53,11 @@ def test_language(spark):
     tags = spark.createDataFrame([("zh-TW",), ("zh-Hans",), ("ZH",), ("de-AT",), (None,)], "t string")
     rows = tags.select(L.language_id(F.col("t")), L.is_zh_family(F.col("t")), L.is_zh_simplified(F.col("t")), L.ner_model(F.col("t"))).collect()
     assert [tuple(r) for r in rows] == [(6, True, False, "zh"), (8, True, True, "zh"), (4, True, True, "zh"), (11, False, False, "en"), (0, False, False, "en")]
+
+
+def test_statistical_language(spark):
+    texts = ["the letter is for you", "der Brief ist für dich", "la lettre est pour vous", "las cartas son para el rey", "il libro della zia", "os livros não estão", "het huis van de man", "привет всем", "你好世界", "これはペンです", "안녕하세요", "12 !", "", None, "Zxqv"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(L.statistical_language(F.col("t"))).collect()] == ["en", "de", "fr", "es", "it", "pt", "nl", "ru", "zh", "ja", "ko", "en", "en", "en", "en"]
+    df = spark.createDataFrame([("东",), ("東",), ("x",), ("东東",), (None,)], "t string")
+    assert [r[0] for r in df.select(L.script_by_conversion(F.col("t"))).collect()] == ["Hans", "Hant", "Hans", "Hans", "Hans"]

@@ -80,40 +80,16 @@ def placeholder(entity_type: Column, entity_id: Column) -> Column:
     return F.concat(F.lit("__PII_"), entity_type, F.lit("_"), entity_id.cast("string"), F.lit("__"))
 
 
-def walk(text: Column, spans: Column, each) -> Column:
-    """``each(span, id, gap before it, its text)`` for ordered, disjoint spans.
-
-    A substring is sought from the start of its string, so many spans are read by blocks, each from its own stretch of the text.
-    """
-
-    def block(part, whole, base, first):
-        def one(s, i):
-            before = F.when(i == 0, base).otherwise(F.element_at(part, F.greatest(i, F.lit(1)))["end"])
-            return each(s, first + i + 1, F.substring(whole, before - base + 1, s["start"] - before), F.substring(whole, s["start"] - base + 1, s["end"] - s["start"]))
-
-        return F.transform(part, one)
-
-    def by_blocks(slices):
-        def one(part, i):
-            base = F.when(i == 0, 0).otherwise(F.element_at(F.element_at(slices, F.greatest(i, F.lit(1))), -1)["end"])
-            stretch = F.substring(text, base + 1, F.element_at(part, -1)["end"] - base)
-            return S.let(F.struct(stretch.alias("t"), base.alias("b")), lambda x: block(part, x["t"], x["b"], i * S.BLOCK))
-
-        return F.flatten(F.transform(slices, one))
-
-    return S.let(spans, lambda p: F.when(F.size(p) <= S.BLOCK, block(p, text, F.lit(0), F.lit(0))).otherwise(S.let(S.blocks(p), by_blocks)))
-
-
-def splice(text: Column, spans: Column, put=None) -> Column:
-    """Replaces each span (ordered, disjoint) by ``put(span, id, its text)``, a placeholder unless given. Null text stays null."""
-    put = put or (lambda s, i, _: placeholder(s["entity_type"], i))
-    done = F.array_join(walk(text, spans, lambda s, i, gap, value: F.concat(gap, put(s, i, value))), "")
+def splice(text: Column, spans: Column, put: str = "concat('__PII_', s.entity_type, '_', r.n, '__')") -> Column:
+    """Replaces each span (ordered, disjoint) by ``put``, SQL as in :func:`spans.walk`: a placeholder unless given. Null text stays null."""
+    done = F.coalesce(F.array_join(S.walk(text, spans, f"concat(r.gap, {put})"), ""), F.lit(""))
     rest = F.substring(text, F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0)) + 1, F.length(text))
     return F.concat(done, rest)
 
 
 def build_meta(text: Column, spans: Column) -> Column:
-    return walk(text, spans, lambda s, i, gap, value: F.struct(i.alias("entity_id"), s["entity_type"].alias("entity_type"), value.alias("matched_text"), s["score"].alias("score")))
+    rows = S.walk(text, spans, "named_struct('entity_id', r.n, 'entity_type', s.entity_type, 'matched_text', r.value, 'score', s.score)")
+    return F.when(spans.isNotNull(), F.coalesce(rows, F.array().cast(f"array<{META}>")))
 
 
 def pii_spans(df: DataFrame, text="text", cfg: MaskConfig | None = None, out: str = "spans", **how) -> DataFrame:
@@ -160,29 +136,22 @@ def anonymize(df: DataFrame, operators: dict, text="text", cfg: MaskConfig | Non
     operator follow DEFAULT, else replace.
     """
 
-    def one(op, s, value):
+    def one(op: dict) -> str:
         kind = op.get("type", "replace")
         if kind == "replace":
-            return F.lit(op["new_value"]) if "new_value" in op else F.concat(F.lit("<"), s["entity_type"], F.lit(">"))
-        if kind == "redact":
-            return F.lit("")
-        if kind == "hash":
-            return F.sha2(value, 256)
-        if kind == "keep":
-            return value
+            return S.quoted(op["new_value"]) if "new_value" in op else "concat('<', s.entity_type, '>')"
+        if kind in ("redact", "hash", "keep"):
+            return {"redact": "''", "hash": "sha2(r.value, 256)", "keep": "r.value"}[kind]
         if kind == "mask":
-            n = F.least(F.lit(int(op.get("chars_to_mask", 1 << 30))), F.length(value))
-            stars = F.repeat(F.lit(op.get("masking_char", "*")), n)
-            rest = F.length(value) - n
-            return F.concat(F.substring(value, F.lit(1), rest), stars) if op.get("from_end") else F.concat(stars, F.substring(value, n + 1, rest))
+            hidden = f"least({int(op.get('chars_to_mask', 1 << 30))}, length(r.value))"
+            stars = f"repeat({S.quoted(op.get('masking_char', '*'))}, {hidden})"
+            if op.get("from_end"):
+                return f"concat(substring(r.value, 1, length(r.value) - {hidden}), {stars})"
+            return f"concat({stars}, substring(r.value, {hidden} + 1))"
         raise ValueError(f"no such operator: {kind}")
 
-    def put(s, _, value):
-        done = one(operators.get("DEFAULT", {"type": "replace"}), s, value)
-        for kind, op in operators.items():
-            if kind != "DEFAULT":
-                done = F.when(s["entity_type"] == kind, one(op, s, value)).otherwise(done)
-        return done
-
+    cases = " ".join(f"WHEN {S.quoted(kind)} THEN {one(op)}" for kind, op in operators.items() if kind != "DEFAULT")
+    rest = one(operators.get("DEFAULT", {"type": "replace"}))
+    put = f"CASE s.entity_type {cases} ELSE {rest} END" if cases else rest
     found = df.withColumn("__found", detect(F.col(text), cfg or MaskConfig(), **how))
     return found.withColumn(out, splice(F.col(text), F.col("__found"), put)).drop("__found")

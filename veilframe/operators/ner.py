@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from veilframe.functions import language as L
 from veilframe.operators import spans as S
 
 ITEM = "struct<entity:string,score:float,index:int,word:string,start:int,end:int>"
@@ -110,19 +111,34 @@ def bio_spans(items: Column, text: Column, seq: int = 100) -> Column:
     return S.valid(done, text, 0.0)
 
 
-def with_model(df: DataFrame, infer: Callable[[list[str], list[str]], list[list[tuple]]], text="text", language=None, out="ner") -> DataFrame:
+def with_model(
+    df: DataFrame, infer: Callable[[list[str], list[str]], list[list[tuple]]], text="text", language=None, out="ner", scripts: tuple[str, str] | None = (L.SIMPLIFIED_CHARS, L.TRADITIONAL_CHARS)
+) -> DataFrame:
     """Adds a token column computed by ``infer(texts, languages)``, batch by batch over Arrow.
 
     ``infer`` returns per text tuples (entity, score, index, word, start, end); tokens labelled
-    ``O`` are dropped. A failing recognizer is the caller's matter; none at all: :func:`no_items`.
+    ``O`` are dropped. Text in simplified Chinese is shown to it in traditional characters, by the
+    one-to-one tables ``scripts`` (None: as it is); words come back in the characters of the text.
+    A failing recognizer is the caller's matter; none at all: :func:`no_items`.
     """
+    there, back = (str.maketrans(*scripts), str.maketrans(*reversed(scripts))) if scripts else ({}, {})
+
+    def simplified(tag: str) -> bool:
+        tag = tag.lower()
+        return tag == "zh" or tag.startswith("zh-") and not any(x in tag for x in ("hant", "tw", "hk"))
+
     lang = F.lit("en") if language is None else F.coalesce(F.col(language), F.lit("en"))
 
     @pandas_udf(ITEMS)  # parsed here, where a session exists
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, langs in parts:
-            found = infer(texts.fillna("").tolist(), langs.tolist())
-            yield pd.Series([[dict(zip(("entity", "score", "index", "word", "start", "end"), t)) for t in row if t[0] != "O"] for row in found])
+            given, tags = texts.fillna("").tolist(), langs.tolist()
+            found = infer([t.translate(there) if simplified(tag) else t for t, tag in zip(given, tags)], tags)
+            rows = []
+            for row, tag in zip(found, tags):
+                items = [dict(zip(("entity", "score", "index", "word", "start", "end"), t)) for t in row if t[0] != "O"]
+                rows.append([x | {"word": x["word"].translate(back)} if simplified(tag) and x["word"] else x for x in items])
+            yield pd.Series(rows)
 
     return df.withColumn(out, run(F.col(text), lang))
 

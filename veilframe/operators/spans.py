@@ -6,6 +6,7 @@ in code points, half-open. Null and empty texts have no spans. Everything is row
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,122 +31,121 @@ def no_spans() -> Column:
     return F.array().cast(NO_SPANS)
 
 
-def blocks(items: Column) -> Column:
-    """An array in slices of ``BLOCK``: a fold that grows an array copies it at each step, so long ones are folded by slices."""
-    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / BLOCK).cast("int") - 1), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+# The algebra below is SQL text with named inputs: a plan of hundreds of expressions is then built by the
+# parser of the session instead of call by call from Python.
 
 
-def running(values: Column, step) -> Column:
-    """[0, step(0, v1), step(step(0, v1), v2), ...] of a short array."""
-    return F.aggregate(values, F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))
+def sql(body: str, **inputs: Column) -> Column:
+    """``body`` over ``x.<name>``, each input being computed once."""
+    given = F.array(F.struct(*[c.alias(n) for n, c in inputs.items()]))
+    return F.element_at(F.call_function("transform", given, F.expr(f"x -> {body}")), 1)
 
 
-def _pieces(text: Column, spec: PatternSpec) -> Column:
-    """Gaps and matches of one pattern in turn: one regex pass frames each match and a split cuts there. Empty if nothing can match."""
-    flags = "(?U" + spec.flags + ")"
-    framed = F.regexp_replace(F.translate(text, _FRAME, " "), F.lit(f"{flags}({spec.label})({spec.fast or spec.value})"), F.lit(f"$1{_FRAME}$2{_FRAME}"))
-    # the test must see what the pattern sees: Unicode digits, blanks and case
-    return F.when(text.rlike(flags + spec.hint), F.split(framed, _FRAME)) if spec.hint else F.split(framed, _FRAME)
+def quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _located(pieces: Column, entity_type: Column, score, seq: Column) -> Column:
-    """Spans of the matches among the pieces; ``score`` takes the matched value.
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    Only lengths of strings are used, so characters beyond the basic plane count as one.
-    """
 
-    def step(acc, piece):
-        end = acc["pos"] + F.length(piece)
-        span = F.struct(acc["pos"].alias("start"), end.alias("end"), entity_type.alias("entity_type"), score(piece).alias("score"), seq.alias("seq"))
-        return F.struct(end.alias("pos"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+_NONE = f"CAST(array() AS {NO_SPANS})"
+
 
-    def fold(part, pos):
-        return F.aggregate(part, F.struct(pos.alias("pos"), F.lit(False).alias("hit"), no_spans().alias("out")), step, lambda acc: acc["out"])
+def blocks(items: str) -> str:
+    """An array in slices of ``BLOCK``: a fold that grows an array copies it at each step, so long ones are folded by slices."""
+    return f"transform(sequence(0, CAST(ceil(size({items}) / {BLOCK}) AS INT) - 1), b0 -> slice({items}, b0 * {BLOCK} + 1, {BLOCK}))"
 
-    def by_blocks(slices):
-        ends = running(F.transform(slices, lambda b: F.aggregate(b, F.lit(0), lambda n, p: n + F.length(p))), lambda a, n: a + n)
-        return let(ends, lambda e: F.flatten(F.transform(slices, lambda b, i: fold(b, F.element_at(e, i + 1)))))
 
-    return F.when(F.size(pieces) > 1, let(blocks(pieces), by_blocks)).otherwise(no_spans())
+def _running(values: str, step: str) -> str:
+    """[0, step(0, v1), step(step(0, v1), v2), ...] of a short array; ``step`` is over ``last`` and ``v``."""
+    return f"aggregate({values}, array(0), (sums, v) -> concat(sums, array({_let('last', 'element_at(sums, -1)', step)})))"
+
+
+def _pieces(spec: PatternSpec) -> str:
+    """Gaps and matches of one pattern in turn: one regex pass frames each match and a split cuts there. Null if nothing can match."""
+    flags = "(?U" + spec.flags + ")"
+    framed = f"regexp_replace(x.f, {quoted(f'{flags}({spec.label})({spec.fast or spec.value})')}, '$1{_FRAME}$2{_FRAME}')"
+    # the test must see what the pattern sees: Unicode digits, blanks and case
+    conditions = [f"rlike(x.t, {quoted(flags + spec.hint)})"] if spec.hint else []
+    if spec.languages:
+        conditions.append(f"x.l IN ({', '.join(map(quoted, spec.languages))})")
+    return f"CASE WHEN {' AND '.join(conditions) or 'true'} THEN split({framed}, '{_FRAME}') END"
+
+
+def _located(pieces: str, entity_type: str, score: str, seq: str) -> str:
+    """Spans of the matches among the pieces. Only lengths of strings are used, so characters beyond the basic plane count as one."""
+    span = f"named_struct('start', a.pos, 'end', a.pos + length(p), 'entity_type', {entity_type}, 'score', {score}, 'seq', {seq})"
+    step = f"named_struct('pos', a.pos + length(p), 'hit', NOT a.hit, 'out', CASE WHEN a.hit THEN concat(a.out, array({span})) ELSE a.out END)"
+    fold = f"aggregate(b, named_struct('pos', element_at(ends, i + 1), 'hit', false, 'out', {_NONE}), (a, p) -> {step}, a -> a.out)"
+    ends = _running("transform(slices, b -> aggregate(b, 0, (n, p) -> n + length(p)))", "last + v")
+    by_blocks = _let("slices", blocks(pieces), _let("ends", ends, f"flatten(transform(slices, (b, i) -> {fold}))"))
+    return f"CASE WHEN size({pieces}) > 1 THEN {by_blocks} ELSE {_NONE} END"
 
 
 def find_spans(text: Column, spec: PatternSpec, seq: int = 0) -> Column:
-    """All matches of one pattern, left to right. A validator of the pattern may give a match a score of its own. Null text has no spans."""
-    given = F.lit(float(spec.score))
-    score = (lambda value: F.coalesce(spec.validate(value).cast("double"), given)) if spec.validate else (lambda value: given)
-    return let(_pieces(text, spec), lambda p: _located(p, F.lit(spec.entity_type), score, F.lit(seq)))
+    """All matches of one pattern, left to right; see :func:`all_spans`. Null text has no spans."""
+    return all_spans(text, [replace(spec, languages=())], first=seq, min_score=0.0)
 
 
-def all_spans(text: Column, specs, extra: Column | None = None, language: Column | None = None, min_score: float = 0.5) -> Column:
+def all_spans(text: Column, specs, extra: Column | None = None, language: Column | None = None, min_score: float = 0.5, first: int = 0) -> Column:
     """Spans of all patterns, then ``extra`` spans (entities), in that tie-break order.
 
-    Patterns whose score is below ``min_score`` are left out of the plan. A pattern
-    bound to languages needs ``language``. What turns matches into spans stands in the plan
-    once for all patterns, not once a pattern.
+    Patterns whose score is below ``min_score`` are left out of the plan, unless a validator may give
+    their matches other scores. A pattern bound to languages needs ``language``. What turns matches
+    into spans stands in the plan once for all patterns, not once a pattern.
     """
-    shared, parts = [], []
-    for seq, spec in enumerate(specs):
-        if spec.validate:
-            parts.append(find_spans(text, spec, seq))
-            continue
-        if spec.score < min_score:
-            continue
-        pieces = _pieces(text, spec)
-        if spec.languages:
-            if language is None:
-                continue
-            pieces = F.when(F.lower(language).isin(*spec.languages), pieces)
-        shared.append(F.struct(pieces.alias("pieces"), F.lit(spec.entity_type).alias("entity_type"), F.lit(float(spec.score)).alias("score"), F.lit(seq).alias("seq")))
-    if shared:
-        parts.insert(0, F.flatten(F.transform(F.array(*shared), lambda x: _located(x["pieces"], x["entity_type"], lambda _: x["score"], x["seq"]))))
+    used = [(n, p) for n, p in enumerate(specs, first) if (p.score >= min_score or p.validate) and (language is not None or not p.languages)]
+    parts = []
+    if used:
+        rows = ", ".join(f"named_struct('p', {_pieces(p)}, 'k', {quoted(p.entity_type)}, 'v', {float(p.score)}D, 'n', {n})" for n, p in used)
+        found = sql(
+            f"flatten(transform(array({rows}), g -> {_located('g.p', 'g.k', 'g.v', 'g.n')}))",
+            t=text, f=F.translate(text, _FRAME, " "), l=F.lit(None).cast("string") if language is None else F.lower(language),
+        )
+        for n, p in used:
+            if p.validate:
+                found = F.transform(found, _validated(text, p, n))
+        parts.append(found)
     if extra is not None:
         parts.append(F.coalesce(extra, no_spans()))
     return F.coalesce(F.concat(*parts), no_spans()) if parts else no_spans()
 
 
+def _validated(text: Column, spec: PatternSpec, seq: int):
+    def scored(s):
+        own = spec.validate(F.substring(text, s["start"] + 1, s["end"] - s["start"])).cast("double")
+        return s.withField("score", F.when(s["seq"] == seq, F.coalesce(own, s["score"])).otherwise(s["score"]))
+
+    return scored
+
+
 def valid(spans: Column, text: Column, min_score: float = 0.5) -> Column:
     """Drops spans under the score and spans that do not lie inside the text."""
-    return let(F.length(text), lambda n: F.filter(spans, lambda s: (s["score"] >= min_score) & (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= n)))
+    return sql(f"filter(x.s, y -> y.score >= {float(min_score)}D AND y.start >= 0 AND y.start < y.`end` AND y.`end` <= x.n)", s=spans, n=F.length(text))
 
 
 def dedup_ranges(spans: Column) -> Column:
     """One span per exact range: highest score, then first by seq; ordered by range."""
-    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), (-s["score"]).alias("c"), s["seq"].alias("d"), s.alias("x"))))
-    return F.aggregate(
-        keyed,
-        no_spans(),
-        lambda acc, k: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["start"] == k["a"]) & (F.element_at(acc, -1)["end"] == k["b"]), acc).otherwise(
-            F.concat(acc, F.array(k["x"]))
-        ),
-    )
-
-
-def _greedy(spans: Column) -> Column:
-    keyed = F.array_sort(
-        F.transform(spans, lambda s: F.struct((-s["score"]).alias("a"), (s["start"] - s["end"]).alias("b"), s["start"].alias("c"), s["seq"].alias("d"), s.alias("x")))
-    )
-    taken = F.aggregate(
-        F.transform(keyed, lambda k: k["x"]),
-        no_spans(),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return F.array_sort(taken)
-
-
-def _groups(spans: Column) -> Column:
-    """Spans ordered by start, cut wherever none reaches over the cut; spans of two groups cannot overlap."""
+    keyed = "array_sort(transform(x.s, y -> named_struct('a', y.start, 'b', y.`end`, 'c', -y.score, 'd', y.seq, 'x', y)))"
+    same = "size(acc) > 0 AND element_at(acc, -1).start = k.a AND element_at(acc, -1).`end` = k.b"
+    return sql(f"aggregate({keyed}, {_NONE}, (acc, k) -> CASE WHEN {same} THEN acc ELSE concat(acc, array(k.x)) END)", s=spans)
 
-    def opens(slices):
-        tops = running(F.transform(slices, lambda b: F.array_max(F.transform(b, lambda x: x["end"]))), F.greatest)
 
-        def one(b, top):
-            start = F.struct(top.alias("top"), F.array().cast("array<boolean>").alias("out"))
-            return F.aggregate(b, start, lambda acc, x: F.struct(F.greatest(acc["top"], x["end"]).alias("top"), F.concat(acc["out"], F.array(x["start"] >= acc["top"])).alias("out")), lambda acc: acc["out"])
+def _greedy(spans: str) -> str:
+    keyed = f"array_sort(transform({spans}, y -> named_struct('a', -y.score, 'b', y.start - y.`end`, 'c', y.start, 'd', y.seq, 'x', y)))"
+    crossed = "exists(acc, z -> z.start < k.x.`end` AND k.x.start < z.`end`)"
+    return f"array_sort(aggregate({keyed}, {_NONE}, (acc, k) -> CASE WHEN {crossed} THEN acc ELSE concat(acc, array(k.x)) END))"
 
-        return let(tops, lambda t: F.flatten(F.transform(slices, lambda b, i: one(b, F.element_at(t, i + 1)))))
 
-    first = let(let(blocks(spans), opens), lambda o: F.filter(F.sequence(F.lit(1), F.size(o)), lambda i: F.element_at(o, i)))
-    return let(first, lambda c: F.transform(c, lambda at, i: F.slice(spans, at, F.coalesce(F.try_element_at(c, i + 2), F.size(spans) + 1) - at)))
+def _groups(spans: str) -> str:
+    """Spans ordered by start, cut wherever none reaches over the cut; spans of two groups cannot overlap."""
+    tops = _running("transform(slices, b -> array_max(transform(b, y -> y.`end`)))", "greatest(last, v)")
+    opens = "named_struct('top', greatest(a.top, y.`end`), 'out', concat(a.out, array(y.start >= a.top)))"
+    one = f"aggregate(b, named_struct('top', element_at(tops, i + 1), 'out', CAST(array() AS array<boolean>)), (a, y) -> {opens}, a -> a.out)"
+    flags = _let("slices", blocks(spans), _let("tops", tops, f"flatten(transform(slices, (b, i) -> {one}))"))
+    cuts = _let("flags", flags, "filter(sequence(1, size(flags)), c -> element_at(flags, c))")
+    return _let("cuts", cuts, f"transform(cuts, (c, i) -> slice({spans}, c, coalesce(try_element_at(cuts, i + 2), size({spans}) + 1) - c))")
 
 
 def resolve_overlaps(spans: Column) -> Column:
@@ -154,7 +154,22 @@ def resolve_overlaps(spans: Column) -> Column:
     Touching spans do not overlap. Many spans are first cut into groups that cannot overlap, so
     the work is quadratic only in the spans of one such group.
     """
-    return let(F.array_sort(spans), lambda s: F.when(F.size(s) <= BLOCK, _greedy(s)).otherwise(F.flatten(F.transform(_groups(s), _greedy))))
+    by_groups = f"flatten(transform({_groups('o')}, h -> {_greedy('h')}))"
+    return sql(_let("o", "array_sort(x.s)", f"CASE WHEN size(o) <= {BLOCK} THEN {_greedy('o')} ELSE {by_groups} END"), s=spans)
+
+
+def walk(text: Column, spans: Column, each: str) -> Column:
+    """``each``, SQL over ``s`` (a span), ``r.n`` (its id), ``r.gap`` (the text before it) and ``r.value`` (its own), for ordered, disjoint spans.
+
+    A substring is sought from the start of its string, so spans are read by blocks, each from its own stretch of the text.
+    """
+    before = "CASE WHEN i = 0 THEN u.base ELSE element_at(part, greatest(i, 1)).`end` END"
+    read = "named_struct('gap', substring(u.t, at - u.base + 1, s.start - at), 'value', substring(u.t, s.start - u.base + 1, s.`end` - s.start), 'n', u.first + i + 1)"
+    row = f"transform(part, (s, i) -> {_let('at', before, _let('r', read, each))})"
+    base = "CASE WHEN j = 0 THEN 0 ELSE element_at(element_at(slices, greatest(j, 1)), -1).`end` END"
+    stretch = f"named_struct('t', substring(x.t, base + 1, element_at(part, -1).`end` - base), 'base', base, 'first', j * {BLOCK})"
+    by_blocks = _let("slices", blocks("x.s"), f"flatten(transform(slices, (part, j) -> {_let('base', base, _let('u', stretch, row))}))")
+    return sql(f"CASE WHEN size(x.s) > 0 THEN {by_blocks} END", t=text, s=spans)
 
 
 def merge_spans(left: Column, right: Column, whitelist=None, blacklist=None, threshold: float = 0.0) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,3 +50,9 @@ def round_trip(df: DataFrame, transform=echo, text="text", cfg: MaskConfig | Non
     Adds masked_text, mask_meta, model_output and restored_text: the three stages to choose from.
     """
     return restore(M.mask(df, text, cfg, **how).withColumn("model_output", transform(F.col("masked_text"))), "model_output")
+
+
+def multi_mask_one_restore(inputs: list[DataFrame], text="text", cfg: MaskConfig | None = None, **how) -> DataFrame:
+    """Each input masked on its own, then all restored together: origin, masked_text, mask_meta, restored_text and the text."""
+    masked = [M.mask(df.select(text), text, cfg, **how).withColumn("origin", F.lit(n)) for n, df in enumerate(inputs)]
+    return restore(reduce(DataFrame.unionByName, masked))

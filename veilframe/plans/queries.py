@@ -25,7 +25,7 @@ from veilframe.sources.readers import tables
 
 # Invented rows for what the tables hold rarely or never.
 EXTRA = [
-    (-1, "Contact me: a.b+1@test.io and visit https://example.test, thanks"),
+    (-1, "Mail k.lee+9@post.test, then open https://shop.example/a?b=1 and wait"),
     (-2, "verification code: 9F4T2A and OTP=77aa88bb, pwd: S3cure!Passw0rd"),
     (-3, "password: hunter2 but pass: hunter2 and passcode=0000x"),
     (-4, "seed: apple brick cloud delta eagle flute grape house ivory jelly koala lemon stays"),
@@ -100,6 +100,8 @@ def _re2(spec) -> str:
             inside = part == "["
         elif part == r"\s":
             part = _SPACES if inside else f"[{_SPACES}]"
+        elif part == r"\d" and not _bounded(spec):
+            part = r"\p{Nd}"
         elif part == r"\w" and inside:
             part = _WORD
         elif part == r"\S":
@@ -114,8 +116,11 @@ _FULL, _HALF = "".join(chr(0xFF10 + n) for n in range(10)), "0123456789"
 def _subject(spec) -> str:
     r"""RE2 knows digits and word boundaries in ASCII only: digits of full width are shown to it as ASCII, other letters as ``_``, which is as long and as wordy."""
     text = f"translate(text, '{_FULL}', '{_HALF}')"
-    bounded = r"\b" in spec.value + spec.label and spec.value.isascii()
-    return rf"regexp_replace({text}, '[^\P{{L}}A-Za-zſK]|[^\P{{N}}0-9]|[\p{{M}}\x{{200c}}\x{{200d}}]', '_', 'g')" if bounded else text
+    return rf"regexp_replace({text}, '[^\P{{L}}A-Za-zſK]|[^\P{{N}}0-9]|[\p{{M}}\x{{200c}}\x{{200d}}]', '_', 'g')" if _bounded(spec) else "text"
+
+
+def _bounded(spec) -> bool:
+    return r"\b" in spec.value + spec.label and spec.value.isascii()
 
 
 def _found_sql(name: str, spec, seq: int) -> str:
