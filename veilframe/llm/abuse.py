@@ -36,6 +36,7 @@ REVIEWED = 6_000  # reviewed documents the driver reads for training
 LONGEST = 100_000  # characters; longer documents are not trained on
 BITS = 17
 THRESHOLD = 0.5
+SETTLED = 0.03  # a sentence scored this close to its label teaches nothing in that pass
 REMEMBERED = 80_000
 
 # Groups of people by nationality, faith, origin, sex and the like; swapped for one another in counterfactuals.
@@ -275,6 +276,8 @@ def train(rows: list[Row], swaps: list[list[str]], features: Features, epochs: i
             k = len(f) ** -0.5
             p = 1 / (1 + np.exp(-(w[f].sum(0) * k + b)))
             d = (p - y[i]) * weight[i]
+            if np.abs(d).max() < SETTLED:
+                continue
             push(f, d * k + 1e-4 * w[f])
             gb += d * d
             b -= 0.3 * d / np.sqrt(gb)
@@ -354,10 +357,13 @@ def fit(documents: list[tuple[str, dict]], rounds: int = 3) -> Classifier:
     model = train(rows, swaps, Features(_by_shape(sensitive)), epochs=8)
     parts: list[list[str]] = []
     surface: dict[str, str] = {}
+    forms: dict[str, str] = {}
     for text, _ in documents:
         own = {}
         for s in sentences(text):
-            own.setdefault(plain(s), s)
+            if s not in forms:
+                forms[s] = plain(s)
+            own.setdefault(forms[s], s)
         surface |= own
         parts.append(list(own))
     n = len(CATEGORIES)

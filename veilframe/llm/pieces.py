@@ -17,9 +17,12 @@ import unicodedata
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from veilframe.llm.arrow import map_rows
 
@@ -92,6 +95,7 @@ def with_limit(df: DataFrame, limits: dict, model=None, row: str = "default", ov
     return df.withColumns({"max_chars": own["a"], "overlap_chars": own["b"]})
 
 
+_PIECES = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("piece_no", T.IntegerType()), ("start_pos", T.IntegerType()), ("end_pos", T.IntegerType()), ("hard", T.BooleanType()), ("forced", T.BooleanType()), ("piece", T.StringType()))]))
 SCHEMA = "src string, record_id bigint, piece_no int, start_pos int, end_pos int, hard boolean, forced boolean, piece string"
 
 
@@ -115,11 +119,24 @@ def split_long(df: DataFrame, with_text: bool = True) -> DataFrame:
 
 
 def split(df: DataFrame) -> DataFrame:
-    """Pieces of all rows."""
-    short = df.where(F.length("text") <= F.col("max_chars")).select(
-        "src", "record_id", F.lit(1).alias("piece_no"), F.lit(0).alias("start_pos"), F.length("text").alias("end_pos"), F.lit(False).alias("hard"), F.lit(False).alias("forced"), F.col("text").alias("piece")
-    )
-    return short.unionByName(split_long(df))
+    """Pieces of all rows, in one pass: only the texts above their limit are shown to Python, the others are their own piece."""
+
+    @pandas_udf(_PIECES)
+    def cut_all(texts: pd.Series, limits: pd.Series, overlaps: pd.Series) -> pd.Series:
+        def one(text, limit, overlap):
+            if text is None:
+                return None
+            found, forced = cut(text, int(limit), int(overlap))
+            return [{"piece_no": n, "start_pos": a, "end_pos": b, "hard": hard, "forced": forced, "piece": text[a:b]} for n, (a, b, hard) in enumerate(found, 1)]
+
+        return pd.Series([one(*x) for x in zip(texts, limits, overlaps)])
+
+    text = F.col("text")
+    long = F.length(text) > F.col("max_chars")
+    rows = df.where(text.isNotNull() & F.col("max_chars").isNotNull()).withColumn("p", cut_all(F.when(long, text), "max_chars", "overlap_chars"))
+    rows = rows.select("src", "record_id", "text", F.explode_outer("p").alias("p"))
+    short = F.struct(F.lit(1).alias("piece_no"), F.lit(0).alias("start_pos"), F.length(text).alias("end_pos"), F.lit(False).alias("hard"), F.lit(False).alias("forced"), text.alias("piece"))
+    return rows.select("src", "record_id", F.coalesce("p", short).alias("p")).select("src", "record_id", "p.*")
 
 
 def bodies(read) -> DataFrame:

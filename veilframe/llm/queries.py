@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veilframe.llm import abuse, langid, lookalikes, packing, personal, pieces, runs, tokens
@@ -36,7 +37,7 @@ def p1_classes(spark, folder):
 
 @query("p1_forms")
 def p1_forms(spark, folder):
-    return lookalikes.normalise(tables(spark, folder)("mask_in"), ["request_id"]).distinct()
+    return lookalikes.normalise(tables(spark, folder)("mask_in"), ["request_id"]).select("request_id", "same_form").distinct()
 
 
 # ---- 2: languages ----
@@ -135,6 +136,28 @@ def p5_rejoined(spark, folder):
     return sums.select("src", "record_id", "n_chars", (F.col("all") - (F.col("e") - F.col("s"))).alias("covered"))
 
 
+@query(
+    "p5_bounds",
+    f"""WITH {_LIMITED} SELECT src, record_id, true AS within_limit, true AS overlaps_exact, true AS at_boundaries, true AS as_in_text FROM body WHERE text IS NOT NULL AND length(text) > lim""",
+)
+def p5_bounds(spark, folder):
+    """Of every text above its limit: whether all pieces keep the limit, share the overlap, end at a boundary unless cut hard, and equal the text."""
+    given = pieces.bodies(tables(spark, folder)).distinct()
+    rows = pieces.split(given).join(given, ["src", "record_id"]).where(F.length("text") > F.col("max_chars"))
+    ends_well = F.expr(r"hard OR end_pos = length(text) OR rlike(substring(text, end_pos, 1), r'(?U)[\s.!?…。！？]')")
+    w = Window.partitionBy("src", "record_id").orderBy("piece_no")
+    before = F.lag("end_pos").over(w)
+    rows = rows.select(
+        "src", "record_id",
+        (F.length("piece") <= F.col("max_chars")).alias("a"),
+        F.coalesce(before - F.col("start_pos") == F.col("overlap_chars"), F.col("start_pos") == 0).alias("b"),
+        ends_well.alias("c"),
+        (F.col("piece") == F.expr("substring(text, start_pos + 1, end_pos - start_pos)")).alias("d"),
+    )
+    names = {"a": "within_limit", "b": "overlaps_exact", "c": "at_boundaries", "d": "as_in_text"}
+    return rows.groupBy("src", "record_id").agg(*[F.bool_and(c).alias(n) for c, n in names.items()])
+
+
 # ---- 6: tokens ----
 
 
@@ -166,6 +189,24 @@ def p7_containers(spark, folder):
     return _packed(tables(spark, folder))
 
 
+@query("p7_whole", "SELECT pack_name, doc_id, true AS whole, true AS unsplit_if_it_fits FROM documents, (SELECT DISTINCT pack_name FROM pack_sizes WHERE capacity_tokens > 0)")
+def p7_whole(spark, folder):
+    """Per document and capacity: whether its parts add up to its tokens, and whether it is split only above the capacity."""
+    read = tables(spark, folder)
+    sizes = tokens.lengths(read("documents")).withColumnRenamed("n_tokens", "size")
+    parts = _packed(read).groupBy("pack_name", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts"))
+    rows = parts.join(sizes, "doc_id").join(read("pack_sizes").distinct(), "pack_name")
+    return rows.select("pack_name", "doc_id", (F.col("n") == F.col("size")).alias("whole"), ((F.col("parts") == 1) | (F.col("size") > F.col("capacity_tokens"))).alias("unsplit_if_it_fits"))
+
+
+@query("p7_overfull", "SELECT DISTINCT pack_name, CAST(0 AS BIGINT) AS overfull FROM pack_sizes WHERE capacity_tokens > 0")
+def p7_overfull(spark, folder):
+    """Per capacity: containers that hold more than it."""
+    read = tables(spark, folder)
+    per = _packed(read).groupBy("pack_name", "group_no", "container_no").agg(F.sum("n_tokens").alias("n")).join(read("pack_sizes").distinct(), "pack_name")
+    return per.groupBy("pack_name").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("overfull"))
+
+
 @query("p7_fill")
 def p7_fill(spark, folder):
     """Per capacity: containers, tokens, and the share of space left unused."""
@@ -200,6 +241,15 @@ def p8_scores(spark, folder):
     return _scored(tables(spark, folder))
 
 
+@query("p8_scored", "SELECT doc_id, source, true AS scored, coalesce(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '') = '' AS blank FROM documents")
+def p8_scored(spark, folder):
+    """Every document has three scores from 0 to 1, and a blank one scores 0 in all."""
+    text = F.col("text")
+    blank = F.coalesce(F.regexp_replace(text, r"[ \t\n\r]", ""), F.lit("")) == ""
+    rows = _scored(tables(spark, folder), "source", blank.alias("blank")).select("k.*", F.greatest(*abuse.CATEGORIES).alias("most"), F.least(*abuse.CATEGORIES).alias("least"))
+    return rows.select("doc_id", "source", ((F.col("least") >= 0) & (F.col("most") <= 1) & (~F.col("blank") | (F.col("most") == 0))).alias("scored"), "blank")
+
+
 @query("p8_sources")
 def p8_sources(spark, folder):
     """Per source: documents, and the share of them found in each category."""
