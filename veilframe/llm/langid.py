@@ -64,11 +64,13 @@ def label_language(label: str | None) -> str | None:
 _END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[”’」』）]*|[\n\r]+")
 _INITIAL = re.compile(r"(?:^|[^\w])[^\W\d_]\.$")
 _LEAD = " \t\n\r /|-–—•*;,"
+_DOMAINS = "com|net|org|info|edu|gov|int|eu|io|de|fr|es|it|pt|nl|ru|cn|jp|uk|us|br|ch|at|be|example|test|invalid"  # Fixed values: ends of addresses
 _NOISE = re.compile(  # runs of ASCII that are addresses, links or numbers; each run is looked at once
     r"(?<![!-~])(?:[!-~]++ ?(?:[(\[]at[)\]]|[(\[]@[)\]]|@) ?[!-~]++|[!-~]++ at [!-~]++(?: dot [!-~]++)+"
-    r"|(?=[!-~]*?(?:[@\d]|://|[(\[]at[)\]]|\.(?:example|test|net|org)\b))[!-~]++)",
+    r"|(?=[!-~]*?(?:[@\d]|://|[(\[]at[)\]]|\.(?:" + _DOMAINS + r")\b))[!-~]++)",
     re.IGNORECASE,
 )
+_MAYBE_NOISE = re.compile(r"[@\d]|://|[(\[]at[)\]]|\.(?:" + _DOMAINS + r")\b| dot ", re.IGNORECASE)  # none of it: no noise
 _GAP = re.compile(r"[^\w]+")
 _WIDE = re.compile("[぀-ヿㇰ-ㇿ㐀-鿿豈-﫿ｦ-ﾟ]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -120,11 +122,15 @@ def plain(sentence: str) -> str:
             latin = sentence.translate(_TO_LATIN)
             if 4 * len(_NONLATIN.findall(latin)) < sum(c.isascii() and c.isalpha() for c in latin) and any(c.isascii() and c.isalpha() for c in sentence):
                 sentence = latin
-    return _GAP.sub(" ", _NOISE.sub(" 0 ", sentence)).strip().lower()
+    return _GAP.sub(" ", _quiet(sentence, " 0 ")).strip().lower()
+
+
+def _quiet(text: str, put: str) -> str:
+    return _NOISE.sub(put, text) if _MAYBE_NOISE.search(text) else text
 
 
 def _words_of(given: str) -> list[str]:
-    return [w for w in _NOISE.sub(" ", _shown(given)).replace("/", " ").split() if len(w) <= LONGEST_WORD and _TOKEN.fullmatch(w)]
+    return [w for w in _quiet(_shown(given), " ").replace("/", " ").split() if len(w) <= LONGEST_WORD and _TOKEN.fullmatch(w)]
 
 
 def is_sentence(sentence: str, given: str) -> bool:
@@ -151,7 +157,7 @@ def is_sentence(sentence: str, given: str) -> bool:
 
 _GRAMMAR = re.compile("[的了是我们把她他不這这]|[ぁ-ん]{2}")  # words that only sentences have
 LONGEST_WORD = 30
-WINDOW, STRIDE, DIM, FILTERS, WIDTHS = 64, 44, 12, 48, (2, 3, 4, 5)
+WINDOW, STRIDE, DIM, FILTERS, WIDTHS = 64, 60, 12, 48, (2, 3, 4, 5)  # windows share what the widest filter needs
 
 
 def windows(text: str) -> np.ndarray:
@@ -274,12 +280,13 @@ class Identifier:
             part = new[at : at + 256]
             blocks = [windows(t) for t in part]
             p = np.concatenate([self.network.forward(b) for b in np.array_split(np.concatenate(blocks), max(1, sum(map(len, blocks)) // 512))])
-            ends = np.cumsum([0, *map(len, blocks)])
-            for t, a, b in zip(part, ends, ends[1:]):
-                self.seen[t] = v = np.exp(np.log(p[a:b] + 1e-6).mean(0))
-                v /= v.sum()
-                if v.max() >= SURELY:
-                    self.clear[t] = (int(v.argmax()), float(v.max()))
+            sizes = np.array([len(b) for b in blocks])
+            v = np.exp(np.add.reduceat(np.log(p + 1e-6), np.cumsum(sizes) - sizes) / sizes[:, None])
+            v /= v.sum(1, keepdims=True)
+            for t, row, best, sure in zip(part, v, v.argmax(1).tolist(), v.max(1).tolist()):
+                self.seen[t] = row
+                if sure >= SURELY:
+                    self.clear[t] = (best, sure)
 
     def verdicts(self, found: list[tuple]) -> list[tuple[int, float]]:
         """(language, confidence) of each stretch; an unclear one, or one that is no whole sentence, leans on the sentences of its text."""
@@ -287,7 +294,6 @@ class Identifier:
         if None not in clear:
             return clear
         each = np.array([self.seen[f[2]] for f in found])
-        each /= each.sum(1, keepdims=True)
         sentence = np.array([f[3] for f in found], bool)
         size = np.array([min(f[1] - f[0], 200) for f in found], float) * (sentence if sentence.any() else 1)
         whole = (each * size[:, None]).sum(0) / size.sum()
@@ -295,7 +301,7 @@ class Identifier:
         leaning /= leaning.sum(1, keepdims=True)
         unclear = (each.max(1) < SURELY) | (~sentence & sentence.any())
         each[unclear] = leaning[unclear]
-        return [(int(p.argmax()), float(p.max())) for p in each]
+        return list(zip(each.argmax(1).tolist(), each.max(1).tolist()))
 
     def document(self, found: list[tuple[int, int, str, bool]]) -> list[tuple]:
         """(start, end, language, confidence, has a whole sentence) of the segments, from (start, end, plain, whole)."""
