@@ -292,3 +292,13 @@ def test_script_conversion_around_a_model(spark):
 
     df = spark.createDataFrame([("东门", "zh-CN"), ("東門", "zh-TW"), ("东门", "en")], "text string, language string")
     assert [r["ner"][0]["word"] for r in N.with_model(df, infer, language="language").collect()] == ["东门", "東門", "东门"] and seen.value == 2
+
+
+def test_python_functions_over_results(spark):
+    """A function that reads one result only, so that nothing else keeps the result's expression where it is."""
+    df = frame(spark, "a@b.io 12345", None)
+    longer = external(lambda xs: [x + "!" for x in xs])
+    assert [r[0] for r in M.mask(df, cfg=MaskConfig.all()).select(longer("masked_text")).collect()] == ["__PII_EMAIL_ADDRESS_1__ __PII_VERIFICATION_CODE_2__!", "!"]
+    assert [r[0] for r in mask_lines(df, cfg=MaskConfig.all()).select(longer("masked_text")).collect()][1] == "!"
+    assert [r[0] for r in M.pii_spans(df, cfg=MaskConfig.all()).select(longer(F.to_json("spans"))).collect()][1] == "[]!"
+    assert [r[0] for r in M.anonymize(df, {}, cfg=MaskConfig.all()).select(longer("anonymized_text")).collect()][0] == "<EMAIL_ADDRESS> <VERIFICATION_CODE>!"

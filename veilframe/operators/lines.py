@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.config import MaskConfig
 from veilframe.operators import mask as M
+from veilframe.operators import spans as S
 from veilframe.operators.restore import restore_text
 
 
@@ -19,11 +20,12 @@ def mask_lines(df: DataFrame, text="text", cfg: MaskConfig | None = None, masked
     lines = F.split(F.col(text), "\r?\n", -1)
     # the spans of a line are read twice, so they are kept beside it first
     rows = df.withColumn("__lines", F.transform(lines, lambda x: F.struct(x.alias("line"), M.detect(x, cfg, **how).alias("found"))))
-    return rows.withColumns(
+    return S.computed(
+        rows,
         {
             masked: F.array_join(F.transform("__lines", lambda x: M.splice(x["line"], x["found"])), "\n"),
             meta: F.coalesce(F.transform("__lines", lambda x: M.build_meta(x["line"], x["found"])), F.array().cast(f"array<array<{M.META}>>")),
-        }
+        },
     ).drop("__lines")
 
 

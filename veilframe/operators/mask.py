@@ -94,12 +94,9 @@ def build_meta(text: Column, spans: Column) -> Column:
 
 def pii_spans(df: DataFrame, text="text", cfg: MaskConfig | None = None, out: str = "spans", **how) -> DataFrame:
     """Adds the array of masked spans with ids: ``array<struct<entity_id, entity_type, start, end, score>>``."""
-    cfg = cfg or MaskConfig()
-    found = detect(F.col(text), cfg, **how)
-    return df.withColumn(
-        out,
-        F.transform(found, lambda s, i: F.struct((i + 1).alias("entity_id"), s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))),
-    )
+    found = detect(F.col(text), cfg or MaskConfig(), **how)
+    rows = F.transform(found, lambda s, i: F.struct((i + 1).alias("entity_id"), s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
+    return S.computed(df, {out: rows})
 
 
 def pii_entities(df: DataFrame, keys, text="text", cfg: MaskConfig | None = None, **how) -> DataFrame:
@@ -124,7 +121,7 @@ def mask(df: DataFrame, text="text", cfg: MaskConfig | None = None, masked: str
     """
     found = df.withColumn("__found", detect(F.col(text), cfg or MaskConfig(), **how))
     source = F.col(text)
-    return found.withColumns({masked: splice(source, F.col("__found")), meta: F.coalesce(build_meta(source, F.col("__found")), F.array().cast(f"array<{META}>"))}).drop("__found")
+    return S.computed(found, {masked: splice(source, F.col("__found")), meta: build_meta(source, F.col("__found"))}).drop("__found")
 
 
 def anonymize(df: DataFrame, operators: dict, text="text", cfg: MaskConfig | None = None, out: str = "anonymized_text", **how) -> DataFrame:
@@ -154,4 +151,4 @@ def anonymize(df: DataFrame, operators: dict, text="text", cfg: MaskConfig | Non
     rest = one(operators.get("DEFAULT", {"type": "replace"}))
     put = f"CASE s.entity_type {cases} ELSE {rest} END" if cases else rest
     found = df.withColumn("__found", detect(F.col(text), cfg or MaskConfig(), **how))
-    return found.withColumn(out, splice(F.col(text), F.col("__found"), put)).drop("__found")
+    return S.computed(found, {out: splice(F.col(text), F.col("__found"), put)}).drop("__found")

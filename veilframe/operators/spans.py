@@ -239,6 +239,16 @@ def drop_prefix_spans(spans: Column, text: Column) -> Column:
     return let(instruction_prefix_end(text), lambda end: F.filter(spans, lambda s: (end == 0) | (s["end"] > end)))
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that stay computed where they are.
+
+    Read twice by the projection after it, an expression is not moved into what uses the column. A Python
+    function over a moved expression would fail: Spark does not find the inputs of one whose nested lambdas use outer variables.
+    """
+    inner = df.withColumns({f"__{name}": c for name, c in columns.items()})
+    return inner.withColumns({name: F.coalesce(f"__{name}", f"__{name}") for name in columns}).drop(*[f"__{name}" for name in columns])
+
+
 def explode_rows(df: DataFrame, array: str, out: str, *columns) -> DataFrame:
     """One row an element. Unlike a plain ``explode`` this gets no filter of the array's size put before it, which
     would compute the array a second and third time."""

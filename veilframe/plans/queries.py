@@ -20,8 +20,8 @@ from veilframe.operators.lines import mask_lines, restore_lines
 from veilframe.operators.meta_codec import map_from_json64, map_to_json64, meta_from_base64, meta_to_base64
 from veilframe.operators.restore import placeholder_map, restore, restore_lenient, restore_text
 from veilframe.patterns import CORE, FALLBACK, RULES, by_name
-from veilframe.plans.pipelines import entity_spans, round_trip
-from veilframe.sources.readers import tables
+from veilframe.plans.pipelines import entity_spans, external, round_trip
+from veilframe.sources.readers import batch, envelope, parse_requests, tables
 
 # Invented rows for what the tables hold rarely or never.
 EXTRA = [
@@ -644,3 +644,72 @@ def _(spark, folder):
     rows = M.pii_spans(tables(spark, folder)("documents").select("source", "text"), cfg=MaskConfig.all())
     rows = S.explode_rows(rows, "spans", "s", "source")
     return rows.groupBy("source", F.col("s.entity_type").alias("entity_type")).agg(F.count("*").alias("n"))
+
+
+# ---- sources, sinks and hooks ----
+
+
+@query("json_requests", _resolved_sql(ON, TEXTS_SQL, _types_sql(MaskConfig())) + _MASKED_SQL + " SELECT id, masked_text AS output_text, CASE WHEN text IS NULL THEN 'no text' END AS error_message FROM masked")
+def _(spark, folder):
+    """Bodies in JSON parsed, masked and put into reply envelopes; a body without a text is an error."""
+    bodies = texts(spark, folder).distinct().select("id", F.to_json(F.struct("text", F.lit("auto").alias("language"))).alias("request"))
+    rows = M.mask(parse_requests(bodies, "request"), cfg=MaskConfig()).withColumn("failure", F.when(F.col("text").isNull(), "no text"))
+    return envelope(rows, {"text": "masked_text", "maskMeta": "mask_meta"}, "failure").select("id", F.col("output.text").alias("output_text"), F.col("error.message").alias("error_message"))
+
+
+@query("batch_items", "SELECT * FROM (VALUES (0, 'a@b.io', '__PII_EMAIL_ADDRESS_1__'), (1, 'see b', 'see b'), (2, '', ''), (3, '', '')) v(pos, text, masked_text)")
+def _(spark, folder):
+    items = ["a@b.io", {"text": "see b", "language": "de"}, None, {"language": "fr"}]
+    return M.mask(batch(spark, items), cfg=MaskConfig.all()).select("pos", "text", "masked_text")
+
+
+@query("outside_function", _resolved_sql(ON, TEXTS_SQL, _ALL_ON) + _MASKED_SQL + " SELECT id, '> ' || coalesce(masked_text, '') AS model_output, '> ' || coalesce(text, '') AS restored_text FROM masked")
+def _(spark, folder):
+    """A round trip through a Python function that takes batches of masked texts, as a chat endpoint would."""
+    rows = round_trip(texts(spark, folder).distinct(), transform=external(lambda xs: ["> " + x for x in xs]), cfg=MaskConfig.all())
+    return rows.select("id", "model_output", "restored_text")
+
+
+@query(
+    "recognizer_hook",
+    r"""WITH r AS (SELECT DISTINCT request_id, text FROM mask_in), m AS (SELECT request_id, unnest(regexp_extract_all(text, '(?s)(.*?)([A-Z]{3,})', 1)) AS g, unnest(regexp_extract_all(text, '(?s)(.*?)([A-Z]{3,})', 2)) AS v, unnest(range(len(regexp_extract_all(text, '[A-Z]{3,}')))) AS i FROM r)
+SELECT request_id, 'ORGANIZATION' AS entity_type, e - length(v) AS span_start, e AS span_end FROM (SELECT *, CAST(sum(length(g) + length(v)) OVER (PARTITION BY request_id ORDER BY i) AS BIGINT) AS e FROM m)""",
+)
+def _(spark, folder):
+    """A plugged-in recognizer (here: words in capitals), its word pieces aligned with the text and folded to spans."""
+
+    def infer(given, languages):
+        out = []
+        for text in given:
+            words = re.findall("[A-Z]{3,}|[^A-Z]+|[A-Z]", text)
+            placed = zip(words, N.align_tokens(text, words))
+            out.append([("B-ORG" if re.fullmatch("[A-Z]{3,}", w) else "O", 0.9, n, w, a, b) for n, (w, (a, b)) in enumerate(placed)])
+        return out
+
+    rows = N.with_model(tables(spark, folder)("mask_in").select("request_id", "text").distinct(), infer)
+    rows = rows.select("request_id", F.explode_outer(N.bio_spans(F.col("ner"), F.col("text"))).alias("s")).where("s IS NOT NULL")
+    return rows.select("request_id", "s.entity_type", _start().cast("bigint").alias("span_start"), _end().cast("bigint").alias("span_end"))
+
+
+_BY_LANGUAGE = [("all", "*", 0.65, False), ("de", "*", 0.45, False), ("fr", "PHONE_NUMBER", None, True)]
+_ALLOWED = {"all": ["EMAIL_ADDRESS", "PHONE_NUMBER"], "es": ["VERIFICATION_CODE", "URL_ADDRESS"], "de": ["VERIFICATION_CODE"]}
+
+
+@query(
+    "filters_by_language",
+    _resolved_sql(ON, "src AS (SELECT DISTINCT request_id AS id, text, lower(language) AS lang FROM mask_in)", "true", first=True)
+    .replace("picked AS", """kept AS (SELECT cand.* FROM cand JOIN src USING (id) WHERE CASE WHEN lang = 'fr' AND entity_type = 'PHONE_NUMBER' THEN false WHEN lang = 'de' THEN score >= 0.45 ELSE score >= 0.65 END
+  AND (entity_type IN ('EMAIL_ADDRESS', 'PHONE_NUMBER') OR (lang = 'es' AND entity_type IN ('VERIFICATION_CODE', 'URL_ADDRESS')) OR (lang = 'de' AND entity_type = 'VERIFICATION_CODE'))), picked AS""")
+    .replace("FROM cand WHERE score >= 0.5", "FROM kept WHERE score >= 0.5")
+    + " SELECT id, n AS entity_id, entity_type, s AS span_start, e AS span_end, score, substring(text, s + 1, e - s) AS entity_text FROM sel JOIN src USING (id)",
+)
+def _(spark, folder):
+    """Thresholds and allowed types by the language of the request."""
+    rows = tables(spark, folder)("mask_in").select(F.col("request_id").alias("id"), "text", "language").distinct()
+    found = S.min_score_filter(S.valid(S.all_spans(F.col("text"), CORE), F.col("text")), _BY_LANGUAGE, F.col("language"))
+    return _resolved(rows, S.whitelist_filter(found, _ALLOWED, F.col("language")))
+
+
+@query("engine_language", "SELECT DISTINCT language, CASE WHEN lower(language) IN ('en', 'zh', 'fr') THEN lower(language) ELSE 'en' END AS engine FROM mask_in")
+def _(spark, folder):
+    return tables(spark, folder)("mask_in").select("language", M.engine_language(F.col("language")).alias("engine")).distinct()
