@@ -36,6 +36,7 @@ REVIEWED = 6_000  # reviewed documents the driver reads for training
 LONGEST = 100_000  # characters; longer documents are not trained on
 BITS = 17
 THRESHOLD = 0.5
+CARRIED, LIKELY = 0.006, 0.2  # share of the marked documents (two at least) that must hold a sentence's telling words for it to be learned as a case, or the score it must have had before
 SETTLED = 0.03  # a sentence scored this close to its label teaches nothing in that pass
 REMEMBERED = 80_000
 
@@ -351,7 +352,9 @@ def fit(documents: list[tuple[str, dict]], rounds: int = 3) -> Classifier:
     in those without, choose the sentence that carries a positive mark. Sentences of documents without
     the mark are negatives, the other sentences of a marked document are not used unless they stand
     mostly in documents without it. Wrong marks are outvoted: a chosen sentence that keeps
-    turning up in documents without the mark stays a negative.
+    turning up in documents without the mark stays a negative, and one that the model so far finds
+    harmless counts only if its telling words stand in enough marked documents (``CARRIED``). The first round learns negatives only, so that
+    the model knows common talk before it chooses.
     """
     rows, swaps, sensitive = seeds()
     model = train(rows, swaps, Features(_by_shape(sensitive)), epochs=8)
@@ -373,15 +376,16 @@ def fit(documents: list[tuple[str, dict]], rounds: int = 3) -> Classifier:
             for k, c in enumerate(CATEGORIES):
                 if c in marks:
                     counts[p][k, marks[c]] += 1
-    lift = _lift(parts, [m for _, m in documents])
+    least = [max(2.0, CARRIED * sum(m.get(c, 0) for _, m in documents)) for c in CATEGORIES]
+    lift, carried = _lift(parts, [m for _, m in documents])
     groups = [[plain(x) for x in g.split("|")] for g in GROUPS.values()]
     found_swaps = [near for p in counts if (near := _swaps_of(p, groups))]
-    for _ in range(rounds):
+    for turn in range(rounds + 1):
         score = {p: model.scores(p) for p in counts}
         chosen = {p: np.zeros(n) for p in counts}
         for own, (_, marks) in zip(parts, documents):
             for k, c in enumerate(CATEGORIES):
-                if own and marks.get(c):
+                if turn and own and marks.get(c):
                     best = max(own, key=lambda p: _logit(score[p][k]) + lift[p][k])
                     if _logit(score[best][k]) + lift[best][k] > -1.0:
                         chosen[best][k] += 1
@@ -390,8 +394,10 @@ def fit(documents: list[tuple[str, dict]], rounds: int = 3) -> Classifier:
             label, weight = [], []
             for k in range(n):
                 neg, pos = c[k, 0], chosen[p][k]
-                if pos and pos >= 0.6 * (pos + neg):
+                if pos and pos >= 0.6 * (pos + neg) and (carried[p][k] >= least[k] or score[p][k] >= LIKELY):
                     label.append(1), weight.append(1.0 + min(2.0, pos**0.5 / 2))
+                elif pos:
+                    label.append(0), weight.append(0.0)
                 elif neg:
                     # a document without the mark can hold a case its reviewers missed
                     sure = neg >= 3 or score[p][k] < 0.7
@@ -412,8 +418,9 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _lift(parts: list[list[str]], marks: list[dict]) -> dict[str, np.ndarray]:
-    """Per sentence and category: the log-odds of its most telling words and pairs, by the documents that hold them."""
+def _lift(parts: list[list[str]], marks: list[dict]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Per sentence and category: the log-odds of its four most telling words and pairs, by the documents that
+    hold them, and in how many documents with the mark these stand (median)."""
     n = len(CATEGORIES)
 
     def terms(p):
@@ -431,8 +438,17 @@ def _lift(parts: list[list[str]], marks: list[dict]) -> dict[str, np.ndarray]:
                 for t in held:
                     counts[t][k, m[c]] += 1
     rate = total[:, 1] / total[:, 0]
-    odds = {t: np.log((c[:, 1] + 0.7 * rate) / (c[:, 0] + 0.7) / rate) for t, c in counts.items()}
-    return {p: np.mean(sorted((odds[t] for t in ts if t in odds), key=lambda v: -v.max())[:4] or [np.zeros(n)], 0) for p, ts in of.items()}
+    lift, carried = {}, {}
+    for p, ts in of.items():
+        known = np.array([counts[t] for t in ts if t in counts]).reshape(-1, n, 2)
+        if not len(known):
+            lift[p], carried[p] = np.zeros(n), np.zeros(n)
+            continue
+        odds = np.log((known[:, :, 1] + 0.7 * rate) / (known[:, :, 0] + 0.7) / rate)
+        top = np.argsort(-odds, axis=0, kind="stable")[:4]
+        lift[p] = np.take_along_axis(odds, top, 0).mean(0)
+        carried[p] = np.median(np.take_along_axis(known[:, :, 1], top, 0), 0)
+    return lift, carried
 
 
 def _by_shape(words) -> dict[tuple, list[str]]:
