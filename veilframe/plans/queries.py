@@ -21,7 +21,7 @@ from veilframe.operators.meta_codec import map_from_json64, map_to_json64, meta_
 from veilframe.operators.restore import placeholder_map, restore, restore_lenient, restore_text
 from veilframe.patterns import CORE, FALLBACK, RULES, by_name
 from veilframe.plans.pipelines import entity_spans, external, round_trip
-from veilframe.sources.readers import batch, envelope, parse_requests, tables
+from veilframe.sources.readers import batch, envelope, parse_requests, spread, tables
 
 # Invented rows for what the tables hold rarely or never.
 EXTRA = [
@@ -66,8 +66,8 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     Rows repeated in the tables are repeated here: queries drop them from their results, which are narrower than the texts.
     """
     read = tables(spark, folder)
-    calls = read("call_in").select((F.col("call_id") * 2).alias("id"), "text")
-    requests = read("mask_in").select((F.col("request_id") * 2 + 1).alias("id"), "text")
+    calls = spread(read("call_in").select((F.col("call_id") * 2).alias("id"), "text"))
+    requests = spread(read("mask_in").select((F.col("request_id") * 2 + 1).alias("id"), "text"))
     return calls.unionByName(requests).unionByName(spark.createDataFrame(EXTRA, "id bigint, text string"))
 
 
@@ -76,7 +76,7 @@ DOCS_SQL = "src AS (SELECT doc_id AS id, text FROM documents)"
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return tables(spark, folder)("documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(tables(spark, folder)("documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 # ---- SQL of the same operators ----
@@ -403,7 +403,7 @@ _REQ_SQL = "src AS (SELECT DISTINCT request_id, text FROM mask_in)"
 
 
 def _requests(spark, folder):
-    return tables(spark, folder)("mask_in").select("request_id", "text")
+    return spread(tables(spark, folder)("mask_in").select("request_id", "text"))
 
 
 def _per(n: str) -> str:

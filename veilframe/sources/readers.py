@@ -14,6 +14,12 @@ def tables(spark: SparkSession, folder: str):
     return lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where they come in fewer than half as many splits, as from one small file; else as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: path, text. For very many small files the listing is the limit; prefer Parquet."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
