@@ -246,6 +246,28 @@ def test_long_local_parts_and_word_counts(spark):
     assert personal.lexicon_from(df.limit(0)).roles == {}
 
 
+def test_rare_names_are_found_however_many_words_there_are(spark):
+    n = 100_001
+    word = lambda start: F.concat(F.lit(start), F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "abcdefghij"))
+    rare = spark.range(n).select(F.concat_ws(" ", word("Al"), word("Be")).alias("span_text"), F.lit("PER").alias("entity_type"), F.explode(F.sequence(F.lit(1), F.lit(3))))
+    often = spark.range(20).select(F.lit("Orla Pellinore"), F.lit("PER"), F.lit(1))
+    lexicon = personal.lexicon_from(rare.union(often))
+    assert len(lexicon.roles) == 2 * n + 2
+    df = spark.createDataFrame([("mask_in", 1, "saw Albaaaaa Bebaaaaa, then Orla Pellinore")], "src string, record_id bigint, text string")
+    assert sorted((r["start_pos"], r["end_pos"]) for r in personal.spans(df, lexicon).collect()) == [(4, 21), (28, 42)]
+    assert personal.mask(df, lexicon).first()["masked_text"] == "saw __PII_USER_NAME_1__, then __PII_USER_NAME_2__"
+
+
+def test_han_names_of_tables_and_of_lists(spark):
+    rows = [(s + g, "PER") for s in ("蔺", "司徒", "王") for g in ("青禾", "知渔", "小明")] + [("饕饕青禾", "PER")] * 5 + [("饕知渔", "PER")] * 4 + [("Ann Bell", "PER")] * 3 + [("Ann " + "x" * 80, "ORG")] * 8
+    a, b = personal.lexicon_from(spark.createDataFrame(rows, "span_text string, entity_type string")), personal.learn(rows)
+    assert a.roles == b.roles == {"蔺": "s", "司徒": "s", "王": "s", "青禾": "g", "知渔": "g", "小明": "g", "饕饕青禾": "w", "bell": "S"}
+    text = "饕饕青禾和饕知渔，司徒小明与王青禾。徒小明"
+    want = [(text[x:y], k) for x, y, k in personal.find(text, b)]
+    assert want == [("饕饕青禾", "USER_NAME"), ("司徒小明", "USER_NAME"), ("王青禾", "USER_NAME")]
+    assert personal.find(text, a) == personal.find(text, b)
+
+
 # ---- 5 ----
 
 

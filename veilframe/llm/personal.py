@@ -19,18 +19,25 @@ Repeated rows count once.
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import sqlite3
+import tempfile
 import unicodedata
+import uuid
 from bisect import bisect_left
+from collections.abc import Iterator, Mapping
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.arrow import map_rows
 from veilframe.llm.lookalikes import INVISIBLE, SAME_SHAPE
 
-MAX_WORDS = 200_000  # words of names that are read by the driver and sent to the workers
 LEAST_SEEN, LEAST_SHARE, LEAST_WHOLE = 3, 0.3, 5  # of a name word among names, of its spans; of a Chinese name with an unknown surname
 
 # ---- transducers ----
@@ -423,26 +430,81 @@ def _fold(word: str) -> str:
     return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
+class Words(Mapping):
+    """Words and their roles in a file that Spark hands to every executor. They are sought on disk: memory does not limit their number."""
+
+    def __init__(self, name: str):
+        self.name, self.db = name, None
+
+    def __reduce__(self):
+        return Words, (self.name,)
+
+    def _rows(self, sql: str, *values):
+        if self.db is None:
+            self.db = sqlite3.connect(Path(SparkFiles.get(self.name)).absolute().as_uri() + "?mode=ro&immutable=1", uri=True, check_same_thread=False)
+        return self.db.execute(sql, values)
+
+    def get(self, word, default=None):
+        got = self._rows("SELECT roles FROM words WHERE word = ?", word).fetchone()
+        return got[0] if got else default
+
+    def __getitem__(self, word):
+        if (got := self.get(word)) is None:
+            raise KeyError(word)
+        return got
+
+    def __iter__(self):
+        return (w for (w,) in self._rows("SELECT word FROM words"))
+
+    def __len__(self):
+        return self._rows("SELECT count(*) FROM words").fetchone()[0]
+
+
 class Lexicon:
-    """Roles of words in names: G given, S surname. ``han`` matches Chinese and Japanese names."""
-
-    def __init__(self, roles: dict[str, str], surnames=(), givens=(), whole=()):
-        self.roles = roles
-        parts = []
-        if surnames and givens:
-            parts.append(f"(?:{'|'.join(sorted(surnames, key=len, reverse=True))})(?:{'|'.join(sorted(givens, key=len, reverse=True))})")
-        parts += sorted(whole, key=len, reverse=True)
-        self.han = re.compile("|".join(parts)) if parts else None
+    """Roles of words in names: G given, S surname; of Chinese and Japanese names s surname, g given, w whole. ``firsts``: what the latter begin with."""
+
+    def __init__(self, roles: Mapping[str, str], firsts: str = ""):
+        self.roles, self.firsts = roles, firsts
+        self.han = re.compile(f"[{firsts}]") if firsts else None
         self.roles_of: dict[str, str] = {}
+        self.han_roles_of: dict[str, str] = {}
 
     def role(self, word: str) -> str:
         got = self.roles_of.get(word)
         if got is None:
             if len(self.roles_of) > 100_000:
                 self.roles_of.clear()
-            got = self.roles_of[word] = self.roles.get(_fold(word), "")
+            got = self.roles.get(_fold(word), "")[:1]
+            got = self.roles_of[word] = got if got in "GS" else ""
         return got
 
+    def han_roles(self, word: str) -> str:
+        got = self.han_roles_of.get(word)
+        if got is None:
+            if len(self.han_roles_of) > 100_000:
+                self.han_roles_of.clear()
+            got = self.han_roles_of[word] = self.roles.get(word, "")
+        return got
+
+    def han_names(self, text: str) -> Iterator[tuple[int, int]]:
+        """Places of Chinese and Japanese names: surname and given name before whole ones, the longer before the shorter."""
+        at = 0
+        while m := self.han and self.han.search(text, at):
+            start, whole = m.start(), 0
+            at = start + 1
+            for n in range(5, 0, -1):
+                end = start + n + 2
+                if "g" in self.han_roles(text[start + n : end]):
+                    if "s" in self.han_roles(text[start : start + n]):
+                        at = end
+                        break
+                    if not whole and "w" in self.han_roles(text[start:end]):
+                        whole = end
+            else:
+                at = whole or at
+            if at > start + 1:
+                yield start, at
+
 
 def word_counts(text: str, kind: str | None, n: int = 1) -> list[tuple[str, bool, int, int, int, int]]:
     """(word, whether a whole Han name, seen, in a name, first in a name, last in a name) of a span reported ``n`` times."""
@@ -477,7 +539,10 @@ def lexicon_of(counted) -> Lexicon:
     surnames = {h for h, t in heads.items() if len([x for x in t if len(tails[x]) >= 2]) >= 2}
     givens = {t for t, h in tails.items() if len(h & surnames) >= 2}
     whole = {t for t, n in names.items() if n >= LEAST_WHOLE and not (t[:-2] in surnames and t[-2:] in givens) and len(t) <= 5 and t[-2:] in givens}
-    return Lexicon(roles, surnames, givens, whole)
+    for role, words in zip("gsw", (givens, surnames, whole)):
+        for w in words:
+            roles[w] = roles.get(w, "") + role
+    return Lexicon(roles, "".join({w[0] for w in surnames | whole}))
 
 
 def learn(spans: list[tuple[str, str]]) -> Lexicon:
@@ -620,8 +685,7 @@ def _names(text: str, low: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
             if len(parts) >= 2 and sum(len(p) > 2 for p in parts) >= 1:
                 out.append((a, a + len(value), "USER_NAME"))
     if _HAN.search(text):
-        if lexicon.han:
-            out += [(m.start(), m.end(), "USER_NAME") for m in lexicon.han.finditer(text)]
+        out += [(a, b, "USER_NAME") for a, b in lexicon.han_names(text)]
         for m in _INTRODUCED_CJK.finditer(text):
             k = 1 if m.group(1) else 2
             if not any(m.start(k) < y and x < m.end(k) for x, y, _ in out):
@@ -651,11 +715,11 @@ def _named(run: list, shape: str) -> list[tuple[int, int, str]]:
 
 
 def lexicon_from(reported: DataFrame) -> Lexicon:
-    """From rows (span_text, entity_type): words are counted over all spans in Spark, and only those that pass the test are read.
+    """From rows (span_text, entity_type), as ``learn`` has it: words are counted and chosen over all spans in Spark.
 
-    The words read are at most about ``MAX_WORDS``, the most frequent ones if there are more.
+    All words that pass the test are used. The driver writes them one by one to a file, which every executor gets.
     """
-    rows = reported.where(F.col("span_text").isNotNull() & (F.length("span_text") < 60)).groupBy("span_text", "entity_type").agg(F.count("*").alias("n"))
+    rows = reported.where(F.col("span_text").isNotNull()).groupBy("span_text", "entity_type").agg(F.count("*").alias("n"))
 
     def make():
         def work(texts, kinds, counts):
@@ -667,20 +731,42 @@ def lexicon_from(reported: DataFrame) -> Lexicon:
     measures = ["seen", "named", "first", "last"]
     schema = "word string, han boolean, seen bigint, named bigint, first bigint, last bigint"
     counted = map_rows(rows, make, schema, [pa.string(), pa.bool_(), *[pa.int64()] * 4]).groupBy("word", "han").agg(*[F.sum(c).alias(c) for c in measures])
-    kept = counted.where(F.col("han") | is_name_word(*map(F.col, measures)))
-    if (n := kept.count()) > MAX_WORDS:
-        kept = kept.where(F.col("named") > kept.approxQuantile("named", [1 - MAX_WORDS / n], 0.001)[0])
-    return lexicon_of([tuple(r) for r in kept.orderBy("word").collect()])
-
-
-def _parts(lexicon: Lexicon):
-    return lexicon.roles, lexicon.han.pattern if lexicon.han else None
-
-
-def _again(parts) -> Lexicon:
-    lexicon = Lexicon(parts[0])
-    lexicon.han = re.compile(parts[1]) if parts[1] else None
-    return lexicon
+    counted = counted.where(F.col("han") | is_name_word(*map(F.col, measures))).persist()
+    try:
+        return _kept(_roles(counted))
+    finally:
+        counted.unpersist()
+
+
+def _roles(counted: DataFrame) -> DataFrame:
+    """word, roles of what ``lexicon_of`` takes."""
+    words = counted.where(~F.col("han")).select("word", F.when(F.col("first") > F.col("last"), "G").otherwise("S").alias("role"))
+    names = counted.where("han").select("word", "named", F.expr("left(word, length(word) - 2)").alias("head"), F.expr("right(word, 2)").alias("tail"))
+    for name, by, test in (("shared", "tail", F.lit(True)), ("surname", "head", F.col("shared")), ("given", "tail", F.col("surname"))):
+        names = names.withColumn(name, F.count_if(test).over(Window.partitionBy(by)) >= 2)
+    whole = (F.col("named") >= LEAST_WHOLE) & ~F.col("surname") & F.col("given") & (F.length("word") <= 5)
+    parts = [F.struct(F.when(test, F.col(word)).alias("word"), F.lit(role).alias("role")) for test, word, role in ((F.col("given"), "tail", "g"), (F.col("surname"), "head", "s"), (whole, "word", "w"))]
+    both = words.unionByName(names.select(F.inline(F.array(*parts))).where(F.col("word").isNotNull()))
+    return both.groupBy("word").agg(F.array_join(F.array_sort(F.collect_set("role")), "").alias("roles"))
+
+
+def _kept(roles: DataFrame) -> Lexicon:
+    """The rows (word, roles) as a file in the hands of all executors, until the process ends."""
+    folder = tempfile.mkdtemp(prefix="veilframe-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder, f"words-{uuid.uuid4().hex}.db")
+    db = sqlite3.connect(path, isolation_level=None)
+    try:
+        db.execute("PRAGMA journal_mode = OFF")
+        db.execute("CREATE TABLE words (word TEXT PRIMARY KEY, roles TEXT) WITHOUT ROWID")
+        db.execute("BEGIN")
+        db.executemany("INSERT INTO words VALUES (?, ?)", roles.sortWithinPartitions("word").toLocalIterator())
+        db.execute("COMMIT")
+        firsts = db.execute("SELECT DISTINCT substr(word, 1, 1) FROM words WHERE roles GLOB '*[sw]*'").fetchall()
+    finally:
+        db.close()
+    roles.sparkSession.sparkContext.addFile(str(path))
+    return Lexicon(Words(path.name), "".join(c for (c,) in firsts))
 
 
 SPANS = "src string, record_id bigint, start_pos bigint, end_pos bigint, entity_type string"
@@ -688,10 +774,10 @@ SPANS = "src string, record_id bigint, start_pos bigint, end_pos bigint, entity_
 
 def spans(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     """src, record_id, start_pos, end_pos, entity_type of rows (src, record_id, text): row-local."""
-    parts = _parts(lexicon)
+    roles, firsts = lexicon.roles, lexicon.firsts
 
     def make():
-        own = _again(parts)
+        own = Lexicon(roles, firsts)
 
         def work(src, ids, texts):
             columns: list[list] = [[], [], [], [], []]
@@ -708,10 +794,10 @@ def spans(df: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def mask(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     """src, record_id, masked_text with placeholders ``__PII_TYPE_n__`` numbered from the left; null stays null."""
-    parts = _parts(lexicon)
+    roles, firsts = lexicon.roles, lexicon.firsts
 
     def make():
-        own = _again(parts)
+        own = Lexicon(roles, firsts)
 
         def one(text):
             if not text:
